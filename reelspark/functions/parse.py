@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def fps(value: Column) -> Column:
-    """``num/den`` or a plain number; zero denominator or garbage -> 0.0."""
-    num = F.split_part(value, F.lit("/"), F.lit(1)).try_cast("double")
-    den = F.split_part(value, F.lit("/"), F.lit(2)).try_cast("double")
+    """Whole ``num/den`` or a plain number; zero denominator or garbage -> 0.0."""
+    num = F.split_part(value, F.lit("/"), F.lit(1)).try_cast("bigint")
+    den = F.split_part(value, F.lit("/"), F.lit(2)).try_cast("bigint")
     has_slash = F.contains(value, F.lit("/"))
     is_pair = F.size(F.split(value, "/")) == 2
     rate = F.when(has_slash, F.when(is_pair, F.try_divide(num, den))).otherwise(value.try_cast("double"))
