@@ -13,22 +13,19 @@ from pyspark.sql import functions as F
 from reelspark.operators.ordered import HOUR_MS, Run, numbered, running
 
 
-def _neighbours(left: DataFrame, right: DataFrame, *, backward=True, forward=False, width: int) -> DataFrame:
-    """(video_id, at_ms) of ``left`` with the closest right instant at or before / at or after it."""
-    marks = left.select("video_id", "at_ms", F.lit(None).cast("bigint").alias("r_ms"))
-    points = right.select("video_id", "at_ms", F.col("at_ms").alias("r_ms"))
+def _neighbours(left: DataFrame, right: DataFrame, *, width: int) -> DataFrame:
+    """(video_id, at_ms) of ``left`` with the closest right instants at or before and at or after it.
+
+    Both sides meet in one aggregation by instant; ``sides`` says which of them is there (1 left, 2 right, 3 both).
+    """
+    side = lambda df, n: df.select("video_id", "at_ms", F.lit(n).alias("side"))
     axis = (
-        marks.unionByName(points)
-        .groupBy("video_id", "at_ms")
-        .agg(F.max("r_ms").alias("r_ms"), F.max(F.col("r_ms").isNull()).alias("is_left"))
+        side(left, 1).unionByName(side(right, 2)).groupBy("video_id", "at_ms").agg(F.bit_or("side").alias("sides"))
     )
-    if backward:
-        axis = running(axis, ["video_id"], "at_ms", {"before_ms": Run("max", F.col("r_ms"), "through")}, width=width)
-    if forward:
-        axis = running(
-            axis, ["video_id"], "at_ms", {"after_ms": Run("min", F.col("r_ms"), "through")}, width=width, backwards=True
-        )
-    return axis.filter("is_left").drop("r_ms", "is_left")
+    point = F.when(F.col("sides") >= 2, F.col("at_ms"))
+    runs = {"before_ms": Run("max", point, "through"), "after_ms": Run("min", point, "onward")}
+    found = running(axis, ["video_id"], "at_ms", runs, width=width)
+    return found.filter(F.col("sides") != 2).drop("sides")
 
 
 def previous_keyframe(
@@ -63,7 +60,7 @@ def nearest(left: DataFrame, right: DataFrame, tol_ms: int, *, width: int = HOUR
     are dropped.
     """
     at = lambda df: df.select("video_id", F.col("ts_ms").alias("at_ms"))
-    both = _neighbours(at(left), at(right), backward=True, forward=True, width=width)
+    both = _neighbours(at(left), at(right), width=width)
     back, ahead = F.col("at_ms") - F.col("before_ms"), F.col("after_ms") - F.col("at_ms")
     take_back = back.isNotNull() & (ahead.isNull() | (back <= ahead))
     match = F.when(take_back, F.col("before_ms")).otherwise(F.col("after_ms"))

@@ -33,7 +33,8 @@ _BUCKET = "__bucket"
 class Run:
     """One running aggregate: ``kind`` is sum, max, min or last (non-null) of ``column``.
 
-    ``upto`` is "before" (strictly earlier rows) or "through" (including the current row).
+    ``upto`` is "before" (strictly earlier rows), "through" (earlier rows and this one), or "onward" (this row and
+    all later ones; "last" then means the nearest following value).
     """
 
     kind: str
@@ -71,44 +72,44 @@ def running(
     *,
     width: int = HOUR_MS,
     tie: Sequence[str] = (),
-    backwards: bool = False,
 ) -> DataFrame:
-    """Add each of ``runs`` to ``df``: aggregates over the rows before (or through) each row of its key.
+    """Add each of ``runs`` to ``df``: aggregates over the rows before, through or from each row of its key.
 
-    ``order`` is an integer axis; ``tie`` breaks equal positions. ``backwards`` runs from the far end, so
-    "before" then means later rows. Keys must not be NULL.
+    ``order`` is an integer axis; ``tie`` breaks equal positions. Keys must not be NULL. ``df`` is read twice (rows
+    and summaries): Spark reuses its last shuffle when both need the same columns, otherwise cut the lineage of
+    expensive inputs first (``session.durable``).
     """
     keys = list(keys)
     group = [*keys, _BUCKET]
-    sign = -1 if backwards else 1
-    axis = F.col(order) * sign
-    ties = [F.col(t).desc() if backwards else F.col(t).asc() for t in tie]
-    position = F.struct(axis.alias("p"), *[(F.col(t) * sign if backwards else F.col(t)).alias(f"t{i}") for i, t in enumerate(tie)])
-
     inputs = {f"__in_{name}": run.column for name, run in runs.items()}
-    tagged = df.withColumns({_BUCKET: bucket_of(axis, width), **inputs})
+    tagged = df.withColumns({_BUCKET: bucket_of(F.col(order), width), **inputs})
+    position = F.struct(order, *tie)
 
     def total(name: str, run: Run) -> Column:
         value = F.col(f"__in_{name}")
         if run.kind == "last":
-            return F.max_by(value, F.when(value.isNotNull(), position)).alias(name)
+            pick = F.min_by if run.upto == "onward" else F.max_by
+            return pick(value, F.when(value.isNotNull(), position)).alias(name)
         return getattr(F, run.kind)(value).alias(name)
 
     summaries = tagged.groupBy(*group).agg(*[total(n, r) for n, r in runs.items()])
-    earlier = W.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    by_key = W.partitionBy(*keys)
+    outside = {
+        False: by_key.orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1),
+        True: by_key.orderBy(F.col(_BUCKET).desc()).rowsBetween(W.unboundedPreceding, -1),
+    }
     inherited = summaries.select(
-        *group, *[_over(r.kind, F.col(n), earlier).alias(f"__carry_{n}") for n, r in runs.items()]
+        *group, *[_over(r.kind, F.col(n), outside[r.upto == "onward"]).alias(f"__carry_{n}") for n, r in runs.items()]
     )
 
-    base = W.partitionBy(*group).orderBy(axis.asc(), *ties)
-    local = {
-        f"__local_{n}": _over(
-            r.kind,
-            F.col(f"__in_{n}"),
-            base.rowsBetween(W.unboundedPreceding, 0 if r.upto == "through" else -1),
-        )
-        for n, r in runs.items()
+    up = W.partitionBy(*group).orderBy(order, *tie)
+    down = W.partitionBy(*group).orderBy(F.col(order).desc(), *[F.col(t).desc() for t in tie])
+    frames = {
+        "before": up.rowsBetween(W.unboundedPreceding, -1),
+        "through": up.rowsBetween(W.unboundedPreceding, 0),
+        "onward": down.rowsBetween(W.unboundedPreceding, 0),
     }
+    local = {f"__local_{n}": _over(r.kind, F.col(f"__in_{n}"), frames[r.upto]) for n, r in runs.items()}
     joined = tagged.withColumns(local).join(inherited, group, "left")
     out = {n: _combine(r.kind, F.col(f"__carry_{n}"), F.col(f"__local_{n}")) for n, r in runs.items()}
     return joined.withColumns(out).select(*df.columns, *runs)
@@ -118,8 +119,7 @@ def numbered(
     df: DataFrame, keys: Sequence[str], order: str, name: str, *, width: int = HOUR_MS, tie: Sequence[str] = ()
 ) -> DataFrame:
     """1-based position of every row within its key."""
-    ranked = running(df, keys, order, {name: Run("sum", F.lit(1).cast("bigint"), "through")}, width=width, tie=tie)
-    return ranked
+    return running(df, keys, order, {name: Run("sum", F.lit(1).cast("bigint"), "through")}, width=width, tie=tie)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:

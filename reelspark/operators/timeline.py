@@ -21,6 +21,20 @@ def _shrunk(prev_ms: Column, next_ms: Column, wanted_ms: int) -> Column:
     return F.when(shorter < wanted_ms, shorter / 2).otherwise(F.lit(float(wanted_ms)))
 
 
+def _with_previous(clips: DataFrame) -> DataFrame:
+    """Add ``prev_ms``, the duration of clip id - 1: every clip also tells its successor, in one aggregation."""
+    told = F.array(
+        F.struct("id", F.col("duration_ms").alias("own"), F.lit(None).cast("bigint").alias("prev")),
+        F.struct((F.col("id") + 1).alias("id"), F.lit(None).cast("bigint").alias("own"), F.col("duration_ms").alias("prev")),
+    )
+    return (
+        clips.select("video_id", F.inline(told))
+        .groupBy("video_id", "id")
+        .agg(F.max("own").alias("duration_ms"), F.max("prev").alias("prev_ms"))
+        .filter("duration_ms IS NOT NULL")
+    )
+
+
 def transitions(clips: DataFrame, wanted_ms: int = 500, *, width: int = COUNT_WIDTH) -> DataFrame:
     """One row per clip of ``clips(video_id, id, duration_ms)`` with the transition leading into it.
 
@@ -30,8 +44,7 @@ def transitions(clips: DataFrame, wanted_ms: int = 500, *, width: int = COUNT_WI
     """
     broken = clips.filter(F.col("duration_ms") <= 0).select("video_id").distinct()
     usable = clips.join(broken, "video_id", "left_anti")
-    prev = running(usable, ["video_id"], "id", {"prev_ms": Run("last", F.col("duration_ms"))}, width=width)
-    sized = prev.withColumn(
+    sized = _with_previous(usable).withColumn(
         "transition_ms",
         F.when(F.col("prev_ms").isNotNull(), _shrunk(F.col("prev_ms"), F.col("duration_ms"), wanted_ms)),
     )
