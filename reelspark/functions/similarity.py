@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Keyword length a signed 64-bit row can hold with one bit spare for the carry.
 WORD_BITS = 61
@@ -113,7 +114,7 @@ def ratio_ceiling(text: Column, keyword: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.least(F.length(text), keyword["n"]) / total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_blocks_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks ratio of two texts, lower-cased; an empty side gives 0. Repeats are scored once per batch."""
 
