@@ -456,9 +456,9 @@ def template_correlation(spark, sf):
     return best.withColumn("score", F.round("score", 6))
 
 
-PIXELS = """px AS (SELECT vec_id, CAST(floor(abs(embedding[p]) * 1000) AS BIGINT) % 256 AS r,
-       CAST(floor(abs(embedding[p % 64 + 1]) * 1000) AS BIGINT) % 256 AS g,
-       CAST(floor(abs(embedding[(p + 1) % 64 + 1]) * 1000) AS BIGINT) % 256 AS b
+PIXELS = """px AS (SELECT vec_id, CAST(floor(abs(CAST(embedding[p] AS DOUBLE)) * 1000) AS BIGINT) % 256 AS r,
+       CAST(floor(abs(CAST(embedding[p % 64 + 1] AS DOUBLE)) * 1000) AS BIGINT) % 256 AS g,
+       CAST(floor(abs(CAST(embedding[(p + 1) % 64 + 1] AS DOUBLE)) * 1000) AS BIGINT) % 256 AS b
        FROM (SELECT *, unnest(range(1, 65)) AS p FROM embeddings))"""
 HSV = """hsv AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM px),
 hs AS (SELECT *, CASE WHEN d = 0 THEN 0.0::DOUBLE WHEN v = r THEN (g - b) / d::DOUBLE WHEN v = g THEN 2 + (b - r) / d::DOUBLE
@@ -470,7 +470,7 @@ BOUNDS = {"warm": ([0, 60, 60], [40, 255, 255]), "cool": ([90, 60, 60], [140, 25
 
 def pixels(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
-    level = lambda off: (F.floor(F.abs(F.get("embedding", (F.col("p") + off) % 64)) * 1000) % 256).cast("int")
+    level = lambda off: (F.floor(F.abs(F.get("embedding", (F.col("p") + off) % 64).cast("double")) * 1000) % 256).cast("int")
     return e.select("vec_id", level(0).alias("r"), level(1).alias("g"), level(2).alias("b"))
 
 
@@ -494,7 +494,7 @@ def color_coverage(spark, sf):
 )
 def color_coverage_packed(spark, sf):
     """The same from packed 8x8 images through the Arrow kernel."""
-    at = lambda p: F.substring(F.lpad(F.hex(F.floor(F.abs(p) * 1000) % 256), 2, "0"), 1, 2)
+    at = lambda p: F.substring(F.lpad(F.hex(F.floor(F.abs(p.cast("double")) * 1000) % 256), 2, "0"), 1, 2)
     e = F.col("embedding")
     item = lambda i, off: at(F.get(e, (i + off) % 64))
     packed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(item(i, 2), item(i, 1), item(i, 0))), "")
