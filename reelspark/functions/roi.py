@@ -52,10 +52,13 @@ def shift_bbox(bbox: Column, dx: Column, dy: Column) -> Column:
 
 def relative_box(bbox: Column, roi: Column, width: Column, height: Column) -> Column:
     """Polygon -> its bounding box clamped to the ROI, as ROI fractions; NULL when not a quad or ROI empty."""
+    def coordinates(axis: int) -> Column:
+        return F.transform(bbox, lambda p: p[axis].cast("double"))
+
     out = []
     for axis, extent in ((0, width), (1, height)):
         lo, span = roi[axis] * extent, roi[axis + 2] * extent
-        coords = F.transform(bbox, lambda p, axis=axis: p[axis].cast("double"))
+        coords = coordinates(axis)
         near = F.greatest(lo, F.least(lo + span, F.array_min(coords)))
         far = F.greatest(lo, F.least(lo + span, F.array_max(coords)))
         out.append(((near - lo) / F.nullif(span, F.lit(0.0)), (far - near) / F.nullif(span, F.lit(0.0)), span > 0))

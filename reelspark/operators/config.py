@@ -25,29 +25,53 @@ def _prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
 
 
-def merge_layer(base: DataFrame, update: DataFrame, replaced: tuple[str, ...] = ()) -> DataFrame:
-    """Merge one layer of rows over another, deeply by path.
+def _replaced_section(path: Column) -> Column:
+    section = F.lit(None).cast("string")
+    for name in REPLACED_SECTIONS:
+        section = F.when((path == name) | path.startswith(name + "."), F.lit(name)).otherwise(section)
+    return section
+
+
+def merge_layers(layers: DataFrame) -> DataFrame:
+    """Merge rows (game, layer, replaces, path, value), later layers over earlier ones, deeply by path.
 
-    An update row clears the base rows at its path, below it (scalar over mapping) and above it (mapping over
-    scalar). A ``replaced`` section touched by the update is cleared as a whole. An empty mapping over a
-    mapping changes nothing.
+    A row clears what earlier layers put at its path, below it (a scalar over a mapping) and above it (a mapping
+    over a scalar). Where ``replaces`` holds, touching a replaced section clears all of that section. An empty
+    mapping over a mapping changes nothing, so it clears only a scalar and gives way to leaves that survive below.
+
+    All layers merge at once: every row announces up to which layer it clears a subtree or a single path, rows
+    look these announcements up at each of their prefixes, and survivors are kept.
     """
-    section = F.lit(None).cast("string")
-    for name in replaced:
-        section = F.when((F.col("path") == name) | F.col("path").startswith(name + "."), F.lit(name)).otherwise(section)
-    update = update.select(*_KV, section.alias("section"))
-    base_paths = base.select("game", "path", F.explode(_prefixes(F.col("path"))).alias("at"))
-    empty = (F.col("value") == "{}") & F.col("section").isNull()
-    onto_mapping = (
-        base_paths.filter(F.col("at") != F.col("path")).select("game", F.col("at").alias("path")).distinct()
+    path, layer = F.col("path"), F.col("layer")
+    section = F.when(F.col("replaces"), _replaced_section(path))
+    rows = layers.select(*_KV, "layer", section.alias("section"), _prefixes(path).alias("prefixes"))
+    strict = F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)
+    soft = (F.col("value") == "{}") & F.col("section").isNull()
+    mark = lambda at, subtree: F.struct(at.alias("at"), subtree.alias("subtree"))
+    announced = F.concat(
+        F.transform(strict, lambda p: mark(p, F.lit(False))), F.array(mark(F.coalesce("section", "path"), ~soft))
+    )
+    marks = (
+        rows.select("game", "layer", F.inline(announced))
+        .groupBy("game", "at")
+        .agg(F.max(F.when(F.col("subtree"), layer)).alias("below"), F.max(F.when(~F.col("subtree"), layer)).alias("exact"))
+    )
+    is_self = F.col("at") == path
+    cleared = (F.col("below") > layer) | (is_self & (F.col("exact") > layer))
+    alive = (
+        rows.select(*_KV, "layer", F.explode("prefixes").alias("at"))
+        .join(marks, ["game", "at"], "left")
+        .groupBy("game", "path", "layer")
+        .agg(F.max("value").alias("value"), F.bool_or(F.coalesce(cleared, F.lit(False))).alias("cleared"))
+        .filter(~F.col("cleared"))
+    )
+    return (
+        alive.select(*_KV, F.explode(_prefixes(path)).alias("at"))
+        .groupBy("game", "at")
+        .agg(F.max(F.when(is_self, F.col("value"))).alias("value"), F.bool_or(~is_self).alias("has_below"))
+        .filter(F.col("value").isNotNull() & ~((F.col("value") == "{}") & F.col("has_below")))
+        .select("game", F.col("at").alias("path"), "value")
     )
-    noop = update.filter(empty).join(onto_mapping, ["game", "path"], "left_semi").select("game", "path").distinct()
-    effective = update.join(noop, ["game", "path"], "left_anti")
-    cleared = effective.select("game", F.coalesce("section", "path").alias("at")).distinct()
-    below = base_paths.join(cleared, ["game", "at"], "left_semi").select("game", "path")
-    above = effective.select("game", F.explode(_prefixes(F.col("path"))).alias("path"))
-    kept = base.join(below.unionByName(above).distinct(), ["game", "path"], "left_anti")
-    return kept.select(_KV).unionByName(effective.select(_KV))
 
 
 def resolve(games: DataFrame, defaults: DataFrame, game_layer: DataFrame, override: DataFrame | None = None) -> DataFrame:
@@ -56,9 +80,11 @@ def resolve(games: DataFrame, defaults: DataFrame, game_layer: DataFrame, overri
     ``games(game, base)`` names the default document, ``defaults(base, path, value)``; the layers are
     (game, path, value). Detection sections of the game layer replace, everything else merges deeply.
     """
-    resolved = games.join(defaults, "base").select(_KV)
-    resolved = merge_layer(resolved, game_layer, REPLACED_SECTIONS)
-    return resolved if override is None else merge_layer(resolved, override)
+    at = lambda df, layer, replaces: df.select(
+        *_KV, F.lit(layer).alias("layer"), F.lit(replaces).alias("replaces")
+    )
+    layers = at(games.join(defaults, "base"), 0, False).unionByName(at(game_layer, 1, True))
+    return merge_layers(layers if override is None else layers.unionByName(at(override, 2, False)))
 
 
 def unknown_games(games: DataFrame, game_layer: DataFrame) -> DataFrame:

@@ -136,14 +136,11 @@ def references(checkpoints: DataFrame) -> DataFrame:
         "audio": one("final_video"),
         "report": one("report_path"),
     }
-    both = F.flatten(
-        F.array(
-            *[
-                F.transform(paths, lambda p, s=stage: F.struct(F.lit(s).alias("stage"), p.alias("path")))
-                for stage, paths in by_stage.items()
-            ]
-        )
-    )
+
+    def entries(stage: str, paths: Column) -> Column:
+        return F.transform(paths, lambda p: F.struct(F.lit(stage).alias("stage"), p.alias("path")))
+
+    both = F.flatten(F.array(*[entries(stage, paths) for stage, paths in by_stage.items()]))
     return checkpoints.select("video_id", F.inline(both))
 
 
