@@ -31,12 +31,12 @@ def ms(millis: Column) -> Column:
 
 
 def size(num_bytes: Column) -> Column:
-    """Human-readable size with one decimal, steps of 1024, from B to PB."""
+    """Human-readable size with one decimal (ties to even), steps of 1024, from B to PB."""
     value = num_bytes.cast("double")
-    out = F.format_string("%.1f PB", value / 1024.0**5)
+    out = F.format_string("%.1f PB", F.bround(value / 1024.0**5, 1))
     for power, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
         scaled = value / 1024.0**power
-        out = F.when(scaled < 1024, F.format_string(f"%.1f {unit}", scaled)).otherwise(out)
+        out = F.when(scaled < 1024, F.format_string(f"%.1f {unit}", F.bround(scaled, 1))).otherwise(out)
     return out
 
 
