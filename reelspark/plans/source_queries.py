@@ -11,7 +11,7 @@ from reelspark.functions import color, fmt, hashing, parse, roi
 from reelspark.operators import report
 from reelspark.plans.clip_queries import MERGED, numbered_clips
 from reelspark.plans.inputs import HOUR, KILLS, MULTI_S, POST_S, PRE_S, kills, query, settings, table
-from reelspark.plans.ops_queries import SOME_FIELDS
+from reelspark.plans.ops_queries import MESSAGES, SOME_FIELDS
 from reelspark.session import tune
 from reelspark.sources import ingest, sinks
 from reelspark.streaming import live
@@ -464,16 +464,23 @@ def _replay(spark, sf):
 
 
 def _drain(stream, mode: str):
-    """Run a stream over everything available into a memory table and return it."""
+    """Run a stream over everything available and return what it wrote, with the micro-batch as ``batch``.
+
+    Each micro-batch writes its own folder, so a repeated one replaces itself.
+    """
     spark = stream.sparkSession
-    name = f"live_{uuid.uuid4().hex[:12]}"
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelspark-stream-")
+    home = f"{base.rstrip('/')}/live-{uuid.uuid4().hex[:12]}"
+
+    def write(rows, batch_id):
+        rows.write.mode("overwrite").parquet(f"{home}/out/batch={batch_id}")
+
     run = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).outputMode(mode)
+        .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{home}/out")
 
 
 def _kill_stream(spark, sf):
@@ -513,15 +520,22 @@ def stream_detect(spark, sf):
     return _drain(events, "append").select("video_id", "event_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query("stream_progress")
+@query(
+    "stream_progress",
+    f"""WITH {MESSAGES} SELECT task_id, arg_max(current_video, seq) AS current_video, arg_max(detection_progress, seq) AS detection_progress,
+    arg_max(detected_kills, seq) AS detected_kills FROM msg WHERE type = 'progress' GROUP BY task_id""",
+)
 def stream_progress(spark, sf):
-    """The last update of every task; several updates per task may stand in the table of an update-mode stream."""
+    """The last update of every task from the update-mode stream."""
     stream = _replay(spark, sf)
     kind = lambda k, v: F.when(F.col("event_type") == k, v)
     updates = stream.select(
-        (F.col("user_id") % 10).alias("task_id"), F.col("event_id").alias("seq"), F.lit("progress").alias("type"),
+        (F.col("user_id") % 10).alias("task_id"), F.col("event_id").alias("seq"),
+        kind("error", "error").otherwise("progress").alias("type"),
         kind("view", F.concat(F.lit("video_"), "user_id")).alias("current_video"),
         kind("click", F.round(F.col("value") * 100).cast("bigint")).alias("detection_progress"),
         kind("signup", F.col("event_id") % 97).alias("detected_kills"),
     )
-    return _drain(live.latest_progress(updates, SOME_FIELDS), "update")
+    seen = _drain(live.latest_progress(updates, SOME_FIELDS), "update")
+    last = seen.groupBy("task_id").agg(F.max_by(F.struct(*SOME_FIELDS), "batch").alias("p"))
+    return last.select("task_id", "p.*")
