@@ -11,16 +11,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelspark.operators import detect as D
 from reelspark.operators import segments, telemetry
 from reelspark.operators.settings import Detection
 
-#: transformWithState needs this provider.
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def detect(frame_signals: DataFrame, cfg: Detection, **kwargs) -> DataFrame:
     """Events of a stream of frames with ``signals`` and ``color_pct``. Stateless; any trigger, any output mode."""
     gated = frame_signals.filter(D.gate(F.col("color_pct"), cfg.color_threshold))
@@ -56,91 +52,82 @@ def clips(
     return segments.classify(bounded, multikill_s)
 
 
-class _ProgressFold(StatefulProcessor):
-    """Latest non-null value and its seq per field, as long as the task keeps reporting."""
+def _plain(value):
+    return getattr(value, "item", lambda: value)()
 
-    def __init__(self, fields: list[str], state_schema: str, ttl_ms: int):
-        self.fields, self.state_schema, self.ttl_ms = fields, state_schema, ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("progress", self.state_schema, ttlDurationMs=self.ttl_ms)
+def _fold_progress(fields: list[str], ttl_ms: int):
+    """Latest non-null value and its seq per field, for as long as the task keeps reporting."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = list(self.state.get()) if self.state.exists() else [None] * (2 * len(self.fields))
-        for batch in rows:
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = list(state.get) if state.exists else [None] * (2 * len(fields))
+        latest_ms = state.getCurrentWatermarkMs()
+        for batch in batches:
+            latest_ms = max(latest_ms, int(batch["event_time"].max().timestamp() * 1000))
             batch = batch[batch["type"] == "progress"]
-            for i, field in enumerate(self.fields):
+            for i, field in enumerate(fields):
                 seen = batch.loc[batch[field].notna(), ["seq", field]]
                 if len(seen):
                     top = seen.loc[seen["seq"].idxmax()]
                     if known[2 * i] is None or int(top["seq"]) > known[2 * i]:
-                        value = top[field]
-                        known[2 * i], known[2 * i + 1] = int(top["seq"]), getattr(value, "item", lambda v=value: v)()
-        self.state.update(tuple(known))
-        out = {"task_id": [key[0]], **{f: [known[2 * i + 1]] for i, f in enumerate(self.fields)}}
-        yield pd.DataFrame(out)
+                        known[2 * i], known[2 * i + 1] = int(top["seq"]), _plain(top[field])
+        state.update(tuple(known))
+        state.setTimeoutTimestamp(latest_ms + ttl_ms)
+        yield pd.DataFrame({"task_id": [key[0]], **{f: [known[2 * i + 1]] for i, f in enumerate(fields)}})
 
-    def close(self) -> None:
-        pass
+    return fold
 
 
-def latest_progress(messages: DataFrame, fields=tuple(telemetry.PROGRESS_FIELDS), ttl_ms: int | None = None) -> DataFrame:
+def latest_progress(
+    messages: DataFrame,
+    fields=tuple(telemetry.PROGRESS_FIELDS),
+    ttl_ms: int | None = None,
+    watermark: str = "10 minutes",
+) -> DataFrame:
     """Latest value of every field per task, update mode.
 
-    Without a TTL this is the batch aggregation run on a stream: JVM only, partial before the shuffle. With one, the
-    state of tasks that stopped reporting expires (RocksDB provider; numbers are kept as whole numbers).
+    Without a TTL this is the batch aggregation run on a stream: JVM only, partial before the shuffle. With one,
+    messages need ``event_time``, and a task silent for that long (by watermark) is forgotten.
     """
     if ttl_ms is None:
         return telemetry.latest_progress(messages, fields)
     fields = list(fields)
     kinds = {f: telemetry.PROGRESS_FIELDS[f] for f in fields}
     # numbers cross Arrow as doubles when some are missing, so the fold keeps them as text and casts at the end
-    texts = messages.select("task_id", "seq", "type", *[F.col(f).cast("string").alias(f) for f in fields])
+    timed = messages.withWatermark("event_time", watermark)
+    texts = timed.select("task_id", "event_time", "seq", "type", *[F.col(f).cast("string").alias(f) for f in fields])
     state = ", ".join(f"s{i} bigint, v{i} string" for i in range(len(fields)))
     key_type = messages.schema["task_id"].dataType.simpleString()
     schema = f"task_id {key_type}, " + ", ".join(f"{f} string" for f in fields)
-    folded = texts.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=_ProgressFold(fields, state, ttl_ms),
-        outputStructType=schema,
-        outputMode="Update",
-        timeMode="ProcessingTime",
+    folded = texts.groupBy("task_id").applyInPandasWithState(
+        _fold_progress(fields, ttl_ms), schema, state, "update", GroupStateTimeout.EventTimeTimeout
     )
     return folded.select("task_id", *[F.col(f).cast(t).alias(f) for f, t in kinds.items()])
 
 
-class _ErrorTail(StatefulProcessor):
-    """The n latest errors of a task."""
+def _fold_errors(n: int):
+    """The n latest errors of a task, oldest first."""
 
-    def __init__(self, n: int):
-        self.n = n
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("tail", "seq bigint, level string, message string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        tail = [tuple(r) for r in self.state.get()] if self.state.exists() else []
-        for batch in rows:
-            errors = batch[batch["type"] == "error"].nlargest(self.n, "seq")
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tail = list(zip(*state.get)) if state.exists else []
+        for batch in batches:
+            errors = batch[batch["type"] == "error"].nlargest(n, "seq")
             tail += [(int(s), lv, m) for s, lv, m in zip(errors["seq"], errors["level"], errors["message"])]
-            tail = sorted(tail)[-self.n :]
+            tail = sorted(tail)[-n:]
         if not tail:
             return
-        self.state.put(tail)
-        yield pd.DataFrame(
-            {
-                "task_id": [key[0]] * len(tail),
-                "seq": [t[0] for t in tail],
-                "level": [t[1] for t in tail],
-                "message": [t[2] for t in tail],
-            }
-        )
+        seqs, levels, texts = map(list, zip(*tail))
+        state.update((seqs, levels, texts))
+        yield pd.DataFrame({"task_id": [key[0]] * len(tail), "seq": seqs, "level": levels, "message": texts})
 
-    def close(self) -> None:
-        pass
+    return fold
 
 
 def error_tail(messages: DataFrame, n: int = 50) -> DataFrame:
-    """Each update carries the task's n latest errors; state never exceeds n rows per task (RocksDB provider)."""
+    """Each update carries the task's n latest errors; state never exceeds n rows per task."""
     shaped = messages.select(
         "task_id",
         "seq",
@@ -149,9 +136,10 @@ def error_tail(messages: DataFrame, n: int = 50) -> DataFrame:
         F.coalesce("message", F.lit("")).alias("message"),
     )
     key_type = messages.schema["task_id"].dataType.simpleString()
-    return shaped.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=_ErrorTail(n),
-        outputStructType=f"task_id {key_type}, seq bigint, level string, message string",
-        outputMode="Update",
-        timeMode="None",
+    return shaped.groupBy("task_id").applyInPandasWithState(
+        _fold_errors(n),
+        f"task_id {key_type}, seq bigint, level string, message string",
+        "seqs array<bigint>, levels array<string>, messages array<string>",
+        "update",
+        GroupStateTimeout.NoTimeout,
     )

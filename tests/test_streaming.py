@@ -1,21 +1,18 @@
 import pytest
+from pyspark.sql import functions as F
 
 from reelspark.operators import segments, telemetry
 from reelspark.streaming import live
 
 
-@pytest.fixture
-def rocksdb(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, live.ROCKSDB)
-    yield spark
-    spark.conf.unset(key)
-
-
 def drain(stream, mode, tmp_path, name):
     spark = stream.sparkSession
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    run.awaitTermination()
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name))
+    run = writer.trigger(availableNow=True).start()
+    try:
+        assert run.awaitTermination(60)
+    finally:
+        run.stop()
     return spark.table(name).collect()
 
 
@@ -51,19 +48,20 @@ FIELDS = ("current_stage", "detected_kills")
 
 
 @pytest.mark.parametrize("ttl", [None, 3_600_000])
-def test_progress_fold(rocksdb, tmp_path, ttl):
-    stream = files(rocksdb, tmp_path, MESSAGES, MSG, [range(0, 4), range(4, 8)])
+def test_progress_fold(spark, tmp_path, ttl):
+    stream = files(spark, tmp_path, MESSAGES, MSG, [range(0, 4), range(4, 8)])
+    stream = stream.withColumn("event_time", F.timestamp_millis(F.col("seq") * 1000))
     seen = {}
     for r in drain(live.latest_progress(stream, FIELDS, ttl), "update", tmp_path, f"progress_{ttl}"):
         seen[r.task_id] = (r.current_stage, r.detected_kills)
-    batch = telemetry.latest_progress(rocksdb.createDataFrame(MESSAGES, MSG), FIELDS).collect()
+    batch = telemetry.latest_progress(spark.createDataFrame(MESSAGES, MSG), FIELDS).collect()
     assert seen == {r.task_id: (r.current_stage, r.detected_kills) for r in batch} == {1: ("clips", 4), 2: ("clips", 9)}
 
 
-def test_error_tail(rocksdb, tmp_path):
-    stream = files(rocksdb, tmp_path, MESSAGES, MSG, [range(0, 4), range(4, 8)])
+def test_error_tail(spark, tmp_path):
+    stream = files(spark, tmp_path, MESSAGES, MSG, [range(0, 4), range(4, 8)])
     rows = drain(live.error_tail(stream, 2), "update", tmp_path, "errors_t")
     last = [(r.seq, r.level, r.message) for r in rows][-2:]
     assert last == [(6, "WARNING", ""), (7, "ERROR", "third")]
-    batch = telemetry.error_tail(rocksdb.createDataFrame(MESSAGES, MSG), 2).orderBy("seq").collect()
+    batch = telemetry.error_tail(spark.createDataFrame(MESSAGES, MSG), 2).orderBy("seq").collect()
     assert [(r.seq, r.level, r.message) for r in batch] == last
