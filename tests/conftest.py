@@ -1,10 +1,11 @@
 import pathlib
+import os
 import sys
 
 import pytest
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), os.path.join(str(ROOT), "tests")]
 
 
 @pytest.fixture(scope="session")
