@@ -98,7 +98,8 @@ def keyword_ratio(text: Column, keyword: Column) -> Column:
         matched = row.bitwiseAND(hits)
         return (row + matched).bitwiseAND(ones).bitwiseOR(row.bitwiseAND(F.bitwise_not(hits)))
 
-    row = F.aggregate(_chars(text), ones, step)
+    # an empty piece of the split matches nothing and leaves the row as it is
+    row = F.aggregate(F.split(text, ""), ones, step)
     fast = _ratio((n - F.bit_count(row.bitwiseAND(ones))).cast("double"), F.length(text) + n)
     return (
         F.when(text == keyword["norm"], F.lit(1.0))

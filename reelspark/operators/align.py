@@ -178,10 +178,11 @@ def diff_stats(pairs: DataFrame, column: str = "mae", q: float = 0.95, bins: int
     """
     values = pairs.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"), F.avg("v").alias("mean"))
-    attach = lambda df, name: df.withColumn(name, ends.select(name).scalar())
+    known = ends.select(F.struct("*").alias("e"))  # one subquery, shared by every use
     scale = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     place = F.coalesce((F.col("v") - F.col("lo")) / scale * bins, F.lit(0.0))
-    binned = attach(attach(values, "lo"), "hi").select(
+    spread = values.withColumn("e", known.scalar()).select("v", "e.lo", "e.hi")
+    binned = spread.select(
         "v",
         F.least(F.lit(bins - 1).cast("bigint"), F.floor(place)).alias("bin"),
         F.floor(place * 2**20).alias("slice"),
@@ -189,7 +190,9 @@ def diff_stats(pairs: DataFrame, column: str = "mae", q: float = 0.95, bins: int
     key = F.lit(0).alias("g")
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("c")).select(key, "bin", "c")
     cumulative = running(counts, ["g"], "bin", {"below": Run("sum", F.col("c"))}, width=4096)
-    cumulative = attach(cumulative, "n").withColumn("below", F.coalesce("below", F.lit(0)))
+    cumulative = cumulative.withColumn("e", known.scalar()).select(
+        "bin", "c", F.coalesce("below", F.lit(0)).alias("below"), F.col("e.n").alias("n")
+    )
     pos = (F.col("n") - 1) * q
     lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
     holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("c"))

@@ -53,21 +53,34 @@ def _best_in_row(norm: Column, keywords: Column, threshold: float | None, ratio)
     return F.array_max(scored)
 
 
+def score_texts(texts: DataFrame, keywords: Column, threshold: float | None, ratio=similarity.keyword_ratio) -> DataFrame:
+    """(norm) -> (norm, keyword, similarity) of the best keyword; below ``threshold`` dropped (None keeps all).
+
+    The match leaves the row through a generator, so it is computed once, not again for every filter on it.
+    """
+    best = F.array(_best_in_row(F.col("norm"), F.col("kws"), threshold, ratio))
+    if threshold is not None:
+        best = F.filter(best, lambda b: (b["similarity"] >= threshold) & (b["similarity"] > 0))
+    found = texts.withColumn("kws", keywords).select("norm", F.explode(best).alias("b"))
+    return found.select("norm", F.col("b.keyword").alias("keyword"), F.col("b.similarity").alias("similarity"))
+
+
 def score_detections(
     detections: DataFrame,
     keywords: Column,
     threshold: float | None = 0.8,
     ratio=similarity.keyword_ratio,
 ) -> DataFrame:
-    """Detections with their best keyword; below ``threshold`` they are dropped (None keeps all)."""
+    """Detections with their best keyword; below ``threshold`` they are dropped (None keeps all).
+
+    The same text shows up on frame after frame, so each distinct text is scored once (combined on the map side)
+    and joined back. Few texts match, which usually lets Spark broadcast them; where it cannot, AQE splits a text
+    that fills a partition.
+    """
     keep = [c for c in detections.columns if c != "text"]
-    prepared = detections.select(*keep, F.trim("text").alias("text"), keywords.alias("__kws")).withColumn(
-        "__norm", F.lower("text")
-    )
-    scored = prepared.withColumn("__best", _best_in_row(F.col("__norm"), F.col("__kws"), threshold, ratio))
-    if threshold is not None:
-        scored = scored.filter((F.col("__best.similarity") >= threshold) & (F.col("__best.similarity") > 0))
-    return scored.select(*keep, "text", F.col("__best.keyword").alias("keyword"), F.col("__best.similarity").alias("similarity"))
+    prepared = detections.select(*keep, F.trim("text").alias("text")).withColumn("norm", F.lower("text"))
+    scored = score_texts(prepared.select("norm").distinct(), keywords, threshold, ratio)
+    return prepared.join(scored, "norm").select(*keep, "text", "keyword", "similarity")
 
 
 def match_keywords(

@@ -8,6 +8,7 @@ from reelspark.operators import align as A
 from reelspark.operators import text as T
 from reelspark.operators.ordered import HOUR_MS
 from reelspark.plans.inputs import HOUR, KEYWORDS, KILLS, TOKENS, keywords, kills, query, table, tokens
+from reelspark.session import durable
 from reelspark.sources import ingest
 
 WIDTH = 24 * HOUR_MS
@@ -73,7 +74,7 @@ def pair_diff_stats(spark, sf):
 )
 def gap_stats(spark, sf):
     """The same statistics over the gaps of the nearest pairs."""
-    out = A.diff_stats(nearest(spark, sf), "gap_ms")
+    out = A.diff_stats(durable(nearest(spark, sf)), "gap_ms")  # read three times
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "quantile")})
 
 
