@@ -53,6 +53,15 @@ def _best_in_row(norm: Column, keywords: Column, threshold: float | None, ratio)
     return F.array_max(scored)
 
 
+def _distinct_texts(texts: DataFrame) -> DataFrame:
+    """Distinct ``norm``, spread over all shuffle partitions.
+
+    Words are few bytes but costly to compare; left to size-based coalescing they would end in one task.
+    """
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.select("norm").distinct().repartition(partitions, "norm")
+
+
 def score_texts(texts: DataFrame, keywords: Column, threshold: float | None, ratio=similarity.keyword_ratio) -> DataFrame:
     """(norm) -> (norm, keyword, similarity) of the best keyword; below ``threshold`` dropped (None keeps all).
 
@@ -79,7 +88,7 @@ def score_detections(
     """
     keep = [c for c in detections.columns if c != "text"]
     prepared = detections.select(*keep, F.trim("text").alias("text")).withColumn("norm", F.lower("text"))
-    scored = score_texts(prepared.select("norm").distinct(), keywords, threshold, ratio)
+    scored = score_texts(_distinct_texts(prepared), keywords, threshold, ratio)
     return prepared.join(scored, "norm").select(*keep, "text", "keyword", "similarity")
 
 
@@ -110,7 +119,7 @@ def match_keywords_blocks(detections: DataFrame, keywords: Sequence[str], thresh
     The few keywords are unrolled into columns, and each distinct text is scored once.
     """
     norm = F.lower(F.trim("text"))
-    distinct = detections.select(norm.alias("norm")).distinct()
+    distinct = _distinct_texts(detections.select(norm.alias("norm")))
     ratios = F.array(
         *[
             F.struct(
@@ -121,7 +130,8 @@ def match_keywords_blocks(detections: DataFrame, keywords: Sequence[str], thresh
             for i, k in enumerate(keywords)
         ]
     )
-    best = distinct.withColumn("best", F.array_max(ratios)).filter(F.col("best.similarity") >= threshold)
+    passing = F.filter(F.array(F.array_max(ratios)), lambda b: b["similarity"] >= threshold)
+    best = distinct.select("norm", F.explode(passing).alias("best"))
     order = F.struct("best.similarity", (-F.col("det_idx")).alias("det_rank"))
     return (
         detections.withColumn("norm", norm)
