@@ -9,6 +9,7 @@ from reelspark.operators import lineage as L
 from reelspark.operators import rules as R
 from reelspark.operators.runs import STAGES
 from reelspark.plans.inputs import query, table
+from reelspark.session import durable
 
 # candidate leaves per layer: (path, values as JSON text); an order picks a path and one of its values
 DEFAULTS = [
@@ -286,7 +287,9 @@ PRINTS = f"{KNOWN}, fo AS {_hash_sql('own')}, fn AS {_hash_sql('res')}"
 
 def prints(spark, sf):
     games, defaults, own, over = layers(spark, sf)
-    return L.fingerprints(CF.resolve(games, defaults, own)), L.fingerprints(CF.resolve(games, defaults, own, over))
+    # each resolved table is read several times by what follows
+    old, new = durable(CF.resolve(games, defaults, own)), durable(CF.resolve(games, defaults, own, over))
+    return L.fingerprints(old), L.fingerprints(new)
 
 
 @query("config_fingerprints", f"WITH {PRINTS} SELECT game, section, hash FROM fn")
