@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelspark.llm import simhash
+from reelspark.llm import decontam, lines, simhash
 from reelspark.llm.common import table
 from reelspark.llm.registry import query
 
@@ -13,3 +13,22 @@ from reelspark.llm.registry import query
 def op10_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark, sf):
+    found = decontam.judge(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf):
+    found = lines.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "row.text", "n_lines", "n_removed", "n_near", "emptied")
