@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from reelspark.llm import decontam, lines, simhash
+from reelspark.llm import decontam, lines, packing, simhash
 from reelspark.llm.common import table
 from reelspark.llm.registry import query
 
@@ -32,3 +33,13 @@ def op2_decontamination(spark, sf):
 def op9_line_dedup(spark, sf):
     found = lines.dedup(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "row.text", "n_lines", "n_removed", "n_near", "emptied")
+
+
+#: The id that ends each document in packed sequences.
+END_ID = 2
+
+
+@query("op7_packing")
+def op7_packing(spark, sf):
+    found = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return found.drop("loss_tokens")

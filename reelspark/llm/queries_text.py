@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from reelspark.llm import language
-from reelspark.llm.common import remainder, table
+from reelspark.llm import language, token_cache
+from reelspark.llm.common import remainder, shared_folder, table
 from reelspark.llm.registry import query
 
 
@@ -17,3 +20,11 @@ def op1_language(spark, sf):
     return docs.select(
         "doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), language.identify(F.col("text"), profiles, spark).alias("p")
     ).select("doc_id", "held_out", "p.lang_pred", "p.score", "p.n_grams")
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf):
+    # A cache of its own for each call, so that every call shows the whole work.
+    cache = f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
+    found = token_cache.count_tokens(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+    return found.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
