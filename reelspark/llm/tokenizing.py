@@ -17,7 +17,7 @@ from struct import pack
 import numpy as np
 
 #: Most chunks and most pieces that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 #: Latin letters that have a one-character lower case and no decomposition across pieces, with ASCII signs and digits.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
