@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from reelspark.llm import decontam, lines, packing, simhash
+from reelspark.llm import decontam, hamming, lines, packing, simhash
 from reelspark.llm.common import table
 from reelspark.llm.registry import query
 
@@ -43,3 +43,21 @@ END_ID = 2
 def op7_packing(spark, sf):
     found = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return found.drop("loss_tokens")
+
+
+@query(
+    "op3_nearest_codes",
+    """
+    WITH coded AS (
+      SELECT DISTINCT vec_id, list_reduce(list_prepend(0::UBIGINT, list_transform(range(64), lambda i:
+               CASE WHEN embedding[i + 1] > 0 THEN 1::UBIGINT << i::UBIGINT ELSE 0::UBIGINT END)), lambda a, b: a | b) AS code
+      FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+    met AS (
+      SELECT q.vec_id AS query_id, r.vec_id AS id, bit_count(xor(q.code, r.code)) AS distance
+      FROM coded q, coded r WHERE q.vec_id % 20 = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, id, CAST(distance AS INTEGER) AS distance
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM met) WHERE rank <= 10
+    """,
+)
+def op3_nearest_codes(spark, sf):
+    return hamming.search(table(spark, sf, "embeddings"), k=10, every=20)
