@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What reads as true and as false.
+FLAG_WORDS = {"true": True, "1": True, "yes": True, "on": True, "false": False, "0": False, "no": False, "off": False}
+
 
 def fps(value: Column) -> Column:
     """Whole ``num/den`` or a plain number; zero denominator or garbage -> 0.0."""
@@ -32,10 +35,11 @@ def as_float(value: Column, default: float | Column) -> Column:
 def as_bool(value: Column, default: bool | Column) -> Column:
     """true/1/yes/on and false/0/no/off in any case and padding; anything else -> default."""
     word = F.lower(F.trim(value.cast("string")))
+    fallback = default if isinstance(default, Column) else F.lit(default)
     return (
-        F.when(word.isin("true", "1", "yes", "on"), F.lit(True))
-        .when(word.isin("false", "0", "no", "off"), F.lit(False))
-        .otherwise(default if isinstance(default, Column) else F.lit(default))
+        F.when(word.isin([w for w, flag in FLAG_WORDS.items() if flag]), F.lit(True))
+        .when(word.isin([w for w, flag in FLAG_WORDS.items() if not flag]), F.lit(False))
+        .otherwise(fallback)
     )
 
 

@@ -176,8 +176,13 @@ def _between(value: Column, low: float, high: float) -> Column:
     return F.coalesce(_number(value).between(low, high), F.lit(False))
 
 
+def _numbers(value: Column) -> Column:
+    """The items of a JSON list as numbers; NULL for every item of another kind, quoted numbers included."""
+    return F.transform(F.from_json(value, "array<variant>"), lambda v: _number(F.to_json(v)))
+
+
 def _bad_roi(value: Column) -> Column:
-    items = F.transform(F.from_json(value, "array<string>"), lambda v: v.try_cast("double"))
+    items = _numbers(value)
     four = (kind(value) == "array") & (F.size(items) == 4) & F.forall(items, lambda v: v.isNotNull())
     return (
         F.when(~F.coalesce(four, F.lit(False)), "must be a list of 4 numbers")
@@ -187,7 +192,7 @@ def _bad_roi(value: Column) -> Column:
 
 
 def _bad_hsv(value: Column) -> Column:
-    items = F.transform(F.from_json(value, "array<string>"), lambda v: v.try_cast("double"))
+    items = _numbers(value)
     three = (kind(value) == "array") & (F.size(items) == 3) & F.forall(items, lambda v: v.isNotNull())
     return (
         F.when(~F.coalesce(three, F.lit(False)), "must be a list of 3 numbers")

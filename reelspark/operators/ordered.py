@@ -14,6 +14,8 @@ Buckets are a function of the data alone, so a lost executor's tasks recompute t
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -75,7 +77,7 @@ def running(
 ) -> DataFrame:
     """Add each of ``runs`` to ``df``: aggregates over the rows before, through or from each row of its key.
 
-    ``order`` is an integer axis; ``tie`` breaks equal positions. Keys must not be NULL. ``df`` is read twice (rows
+    ``order`` is an integer axis; ``tie`` breaks equal positions. NULL keys are one key. ``df`` is read twice (rows
     and summaries): Spark reuses its last shuffle when both need the same columns, otherwise cut the lineage of
     expensive inputs first (``session.durable``).
     """
@@ -99,7 +101,7 @@ def running(
         True: by_key.orderBy(F.col(_BUCKET).desc()).rowsBetween(W.unboundedPreceding, -1),
     }
     inherited = summaries.select(
-        *group, *[_over(r.kind, F.col(n), outside[r.upto == "onward"]).alias(f"__carry_{n}") for n, r in runs.items()]
+        *[F.col(g).alias(f"__of_{g}") for g in group], *[_over(r.kind, F.col(n), outside[r.upto == "onward"]).alias(f"__carry_{n}") for n, r in runs.items()]
     )
 
     up = W.partitionBy(*group).orderBy(order, *tie)
@@ -110,7 +112,8 @@ def running(
         "onward": down.rowsBetween(W.unboundedPreceding, 0),
     }
     local = {f"__local_{n}": _over(r.kind, F.col(f"__in_{n}"), frames[r.upto]) for n, r in runs.items()}
-    joined = tagged.withColumns(local).join(inherited, group, "left")
+    same = functools.reduce(operator.and_, [F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in group])
+    joined = tagged.withColumns(local).join(inherited, same, "left")
     out = {n: _combine(r.kind, F.col(f"__carry_{n}"), F.col(f"__local_{n}")) for n, r in runs.items()}
     return joined.withColumns(out).select(*df.columns, *runs)
 

@@ -108,13 +108,16 @@ def merge(segments: DataFrame, *, width: int = HOUR_MS) -> DataFrame:
 def members(segments: DataFrame, *, width: int = HOUR_MS) -> DataFrame:
     """Every segment with ``clip_start_ms``, the key of the merged clip it went into (long form)."""
     pieces = _pieces(segments, width)
-    clips = _chained(_local_clips(pieces, width)).select("video_id", "bucket", "local_ms", "clip_start_ms")
+    clips = _chained(_local_clips(pieces, width)).select(
+        F.col("video_id").alias("of"), F.col("bucket").alias("in_bucket"), F.col("local_ms").alias("at_ms"), "clip_start_ms"
+    )
+    same = F.col("video_id").eqNullSafe(F.col("of"))
     starts = (
         pieces.filter(~F.col("continued"))
-        .join(clips, ["video_id", "bucket", "local_ms"])
-        .select("video_id", "start_ms", "clip_start_ms")
+        .join(clips, same & (F.col("bucket") == F.col("in_bucket")) & (F.col("local_ms") == F.col("at_ms")))
+        .select("of", F.col("start_ms").alias("from_ms"), "clip_start_ms")
     )
-    return segments.join(starts, ["video_id", "start_ms"])
+    return segments.join(starts, same & (F.col("start_ms") == F.col("from_ms"))).drop("of", "from_ms")
 
 
 def merge_sessions(events: DataFrame, pre_s: float = 3.0, post_s: float = 1.0, *, width: int = HOUR_MS) -> DataFrame:

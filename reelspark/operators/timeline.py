@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelspark.operators.ordered import COUNT_WIDTH, Run, running
+from reelspark.session import durable
 
 #: Transitions that can be asked for or drawn at random.
 TRANSITIONS = (
@@ -64,7 +65,8 @@ def transition_choice(kind: str, video_id: Column, position: Column) -> Column:
     if kind == "none":
         return F.lit(None).cast("string")
     if kind == "random":
-        pick = F.pmod(F.xxhash64(video_id, position), F.lit(len(TRANSITIONS))).cast("int")
+        digest = F.sha2(F.concat_ws(":", video_id.cast("string"), position.cast("string")), 256)
+        pick = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % len(TRANSITIONS)).cast("int")
         return F.get(F.array(*[F.lit(t) for t in TRANSITIONS]), pick)
     return F.lit(kind if kind in TRANSITIONS else "fade")
 
@@ -78,21 +80,21 @@ def chunk_size(value) -> int:
     return 0 if size <= 0 else max(size, 2)
 
 
-def segment_chunks(clips: DataFrame, size: int = 4, levels: int = 32) -> DataFrame:
+def segment_chunks(clips: DataFrame, size: int = 4) -> DataFrame:
     """Chunk of every clip at every level of a tree of joins with at most ``size`` inputs each.
 
     ``clips(video_id, id)`` with ids 1..n. Level 1 groups clips, level 2 groups those chunks, and so on until one
-    chunk holds all. ``levels`` bounds the tree: 32 levels of the smallest size reach 2**32 clips per video.
+    chunk holds all; a single clip needs no level. Size 0 turns chunks off: one join holds all clips.
     """
     size = chunk_size(size)
     counts = clips.groupBy("video_id").agg(F.max("id").alias("n"))
     joined = clips.join(counts, "video_id")
     if size == 0:
         return joined.select("video_id", "id", F.lit(1).alias("level"), F.lit(0).cast("bigint").alias("chunk"))
-    powers = [p for p in (size**k for k in range(1, levels + 1)) if p < 2**62]
+    # Spans of all levels that a BIGINT id can need; one exists while the level below still has more than one part.
+    powers = [size**k for k in range(1, 64) if size**k < 2**62]
     spans = F.array(*[F.lit(p).cast("bigint") for p in powers])
-    # a level exists while the level below still has more than one part
-    needed = F.filter(spans, lambda p: (p == size) | (p / size < F.col("n")))
+    needed = F.filter(spans, lambda p: F.floor(p / size) < F.col("n"))
     return joined.select("video_id", "id", F.posexplode(needed).alias("pos", "span")).select(
         "video_id",
         "id",
@@ -119,13 +121,23 @@ def chunk_durations(parts: DataFrame, size: int = 4, wanted_ms: int = 500) -> Da
     )
 
 
-def segment_timeline(clips: DataFrame, size: int = 4, wanted_ms: int = 500, levels: int = 3) -> DataFrame:
-    """Durations of all chunks for the first ``levels`` levels (level 0 = the clips)."""
+def segment_timeline(clips: DataFrame, size: int = 4, wanted_ms: int = 500) -> DataFrame:
+    """Durations of all chunks of every level (level 0 = the clips) up to the one chunk that is the finished edit.
+
+    A video leaves the loop when one part is left, and the loop ends with the longest video: as many rounds as the
+    logarithm of its clips. Size 0 turns chunks off: only the clips come back.
+    """
     size = chunk_size(size)
     level = clips.select("video_id", F.col("id").cast("bigint").alias("id"), F.col("duration_ms").cast("double").alias("duration_ms"))
-    out = level.withColumn("level", F.lit(0))
-    for number in range(1, levels + 1):
-        level = chunk_durations(level, size, wanted_ms)
+    level = durable(level)
+    out, number = level.withColumn("level", F.lit(0)), 0
+    while size:
+        open_ = level.groupBy("video_id").agg(F.max("id").alias("parts")).filter("parts > 1").select("video_id")
+        parts = level.join(open_, "video_id", "left_semi")
+        if parts.isEmpty():
+            break
+        number += 1
+        level = durable(chunk_durations(parts, size, wanted_ms))
         out = out.unionByName(level.withColumn("level", F.lit(number)))
     return out
 
@@ -136,7 +148,7 @@ def multi_video_order(
     """Position of every clip in the merged edit: input order of the videos, then clip id.
 
     ``clips(video_id, id, ...)`` with ids 1..n per video, ``runs(batch_id, video_id, input_order, success)``.
-    ``skip`` leaves failed videos out; ``stop`` gives nothing for a batch in which any video failed. Positions
+    Equal ``input_order`` goes by video_id. ``skip`` leaves failed videos out; ``stop`` gives nothing for a batch in which any video failed. Positions
     are offsets per video plus the id, so no task sees a whole batch of clips.
     """
     if on_failure not in ("skip", "stop"):
@@ -148,7 +160,9 @@ def multi_video_order(
         usable = runs.filter("success")
     counts = clips.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
     per_video = usable.select("batch_id", "video_id", "input_order").join(counts, "video_id")
-    offsets = running(per_video, ["batch_id"], "input_order", {"offset": Run("sum", F.col("n"))}, width=width)
+    offsets = running(
+        per_video, ["batch_id"], "input_order", {"offset": Run("sum", F.col("n"))}, width=width, tie=["video_id"]
+    )
     return clips.join(offsets.select("batch_id", "video_id", "input_order", "offset"), "video_id").withColumn(
         "position", F.coalesce("offset", F.lit(0)) + F.col("id")
     ).drop("offset")

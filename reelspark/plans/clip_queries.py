@@ -244,7 +244,7 @@ def transition_timeline(spark, sf):
 @query(
     "timeline_chunks",
     f"""WITH RECURSIVE {MERGED}, n AS (SELECT video_id, max(id) AS n FROM clips GROUP BY video_id),
-lv AS (SELECT video_id, n, 1 AS level, CAST(4 AS BIGINT) AS span FROM n
+lv AS (SELECT video_id, n, 1 AS level, CAST(4 AS BIGINT) AS span FROM n WHERE n > 1
        UNION ALL SELECT video_id, n, level + 1, span * 4 FROM lv WHERE span < n)
 SELECT c.video_id, c.id, lv.level, (c.id - 1) // lv.span AS chunk FROM clips c JOIN lv USING (video_id)""",
 )
@@ -252,23 +252,23 @@ def timeline_chunks(spark, sf):
     return timeline.segment_chunks(numbered_clips(spark, sf).select("video_id", "id"), 4)
 
 
-def _level(src: str) -> str:
-    return f"""(SELECT video_id, chunk + 1 AS id, sum(duration_ms - CASE WHEN prev IS NULL THEN 0
-      WHEN least(prev, duration_ms) < {WANTED} THEN least(prev, duration_ms) / 2.0 ELSE {WANTED} END) AS duration_ms
-    FROM (SELECT *, lag(duration_ms) OVER (PARTITION BY video_id, chunk ORDER BY id) AS prev
-          FROM (SELECT *, (id - 1) // 4 AS chunk FROM {src})) GROUP BY video_id, chunk)"""
-
-
 @query(
     "timeline_chunk_durations",
-    f"""WITH {MERGED}, l0 AS (SELECT video_id, id, CAST(end_ms - start_ms AS DOUBLE) AS duration_ms FROM clips),
-l1 AS {_level("l0")}, l2 AS {_level("l1")}
-SELECT video_id, id, CAST(duration_ms AS DOUBLE) AS duration_ms, 0 AS level FROM l0
-UNION ALL SELECT video_id, id, CAST(duration_ms AS DOUBLE), 1 FROM l1
-UNION ALL SELECT video_id, id, CAST(duration_ms AS DOUBLE), 2 FROM l2""",
+    f"""WITH RECURSIVE {MERGED}, lv AS (
+  SELECT video_id, id, CAST(end_ms - start_ms AS DOUBLE) AS duration_ms, 0 AS level,
+         count(*) OVER (PARTITION BY video_id) AS parts FROM clips
+  UNION ALL
+  SELECT video_id, id, duration_ms, level, count(*) OVER (PARTITION BY video_id) AS parts FROM (
+    SELECT video_id, chunk + 1 AS id, level + 1 AS level,
+           CAST(sum(duration_ms - CASE WHEN prev IS NULL THEN 0
+             WHEN least(prev, duration_ms) < {WANTED} THEN least(prev, duration_ms) / 2.0 ELSE {WANTED} END) AS DOUBLE) AS duration_ms
+    FROM (SELECT *, lag(duration_ms) OVER (PARTITION BY video_id, chunk ORDER BY id) AS prev
+          FROM (SELECT *, (id - 1) // 4 AS chunk FROM lv WHERE parts > 1))
+    GROUP BY video_id, chunk, level))
+SELECT video_id, id, duration_ms, level FROM lv""",
 )
 def timeline_chunk_durations(spark, sf):
-    return timeline.segment_timeline(numbered_clips(spark, sf), 4, WANTED, levels=2)
+    return timeline.segment_timeline(numbered_clips(spark, sf), 4, WANTED)
 
 
 RUNS = """runs AS (
@@ -277,7 +277,7 @@ RUNS = """runs AS (
   FROM orders GROUP BY o_custkey)"""
 ORDERED = """, ok AS ({ok}),
 pos AS (SELECT ok.batch_id, ok.input_order, c.video_id, c.id,
-        row_number() OVER (PARTITION BY ok.batch_id ORDER BY ok.input_order, c.id) AS position
+        row_number() OVER (PARTITION BY ok.batch_id ORDER BY ok.input_order, c.video_id, c.id) AS position
         FROM clips c JOIN ok USING (video_id))
 SELECT batch_id, input_order, video_id, id, position FROM pos"""
 
@@ -351,9 +351,15 @@ def music_fit(spark, sf):
     return target.join(music, "video_id").select("video_id", fit.alias("f")).select("video_id", "f.*")
 
 
-@query("transition_choices")
+@query(
+    "transition_choices",
+    f"""WITH {MERGED}, d AS (
+  SELECT video_id, id, CAST('0x' || substr(sha256(video_id || ':' || id), 1, 8) AS BIGINT) % {len(timeline.TRANSITIONS)} AS pick
+  FROM clips)
+SELECT video_id, id, [{", ".join(f"'{t}'" for t in timeline.TRANSITIONS)}][pick + 1] AS drawn, 'fade' AS fallback FROM d""",
+)
 def transition_choices(spark, sf):
-    """A reproducible random transition per clip (Spark's own hash: no SQL twin)."""
+    """A reproducible random transition per clip."""
     clips = numbered_clips(spark, sf)
     return clips.select(
         "video_id",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from reelspark.operators import report
 from reelspark.plans.clip_queries import MERGED, numbered_clips
 from reelspark.plans.inputs import HOUR, KILLS, MULTI_S, POST_S, PRE_S, kills, query, settings, table
 from reelspark.plans.ops_queries import MESSAGES, SOME_FIELDS
-from reelspark.session import tune
+from reelspark.session import shared_folder, tune
 from reelspark.sources import ingest, sinks
 from reelspark.streaming import live
 
@@ -469,8 +468,7 @@ def _drain(stream, mode: str):
     Each micro-batch writes its own folder, so a repeated one replaces itself.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelspark-stream-")
-    home = f"{base.rstrip('/')}/live-{uuid.uuid4().hex[:12]}"
+    home = f"{shared_folder(spark)}/live-{uuid.uuid4().hex[:12]}"
 
     def write(rows, batch_id):
         rows.write.mode("overwrite").parquet(f"{home}/out/batch={batch_id}")

@@ -59,4 +59,4 @@ def test_filters_reach_the_scan(spark):
 
 def test_most_queries_have_sql():
     without = set(QUERIES) - set(ORACLE)
-    assert without == {"transition_choices", "keyword_matches_preview"}
+    assert without == {"keyword_matches_preview"}
