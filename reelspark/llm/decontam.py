@@ -12,7 +12,7 @@ other columns pass through; empty tables on either side give clean documents or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import ascii_lower, small, stored, text_key
@@ -71,16 +71,25 @@ def aligned(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return listed.filter(F.col("met") == need).select("k1", "k2", "phrase", "start", "len")
 
 
-def exact_matches(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(k1, k2, n_words, found): the verified occurrences of phrases, an array of (start, len, phrase) for each text."""
-    spots = aligned(docs, asked).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "len", "phrase")).alias("spots"))
-    spots = stored(spots, "spots")
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k1, k2, w): the words of the distinct texts that ``keys`` (k1, k2) names."""
     k1, k2 = text_key(docs["text"])
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text"))
-    texts = texts.join(small(spots.select("k1", "k2")), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    both = texts.join(spots, ["k1", "k2"]).select("k1", "k2", "spots", words(F.col("text")).alias("w"))
-    said = F.filter("spots", lambda s: F.array_join(F.slice("w", s["start"] + 1, s["len"]), " ") == s["phrase"])
-    return both.select("k1", "k2", F.size("w").cast("long").alias("n_words"), said.alias("found")).filter(F.size("found") > 0)
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text")).join(small(keys), ["k1", "k2"], "left_semi")
+    return rows.groupBy("k1", "k2").agg(F.first("text").alias("text")).select("k1", "k2", words(F.col("text")).alias("w"))
+
+
+def exact_matches(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, phrase, start, len) of the verified occurrences, and (k1, k2, n_words) of the texts looked at.
+
+    Every word of an aligned phrase is looked up at its place, so work follows the number of alignments, not their texts.
+    """
+    spots = stored(aligned(docs, asked), "spots")
+    texts = stored(_texts(docs, stored(spots.select("k1", "k2").distinct(), "keys")), "texts")
+    placed = asked.select("phrase", F.posexplode("terms").alias("off", "term"))
+    wanted = spots.join(small(stored(placed, "placed")), "phrase").withColumn("pos", F.col("start") + F.col("off"))
+    said = texts.select("k1", "k2", F.posexplode("w").alias("pos", "term"))
+    met = wanted.join(said, ["k1", "k2", "pos", "term"]).groupBy("k1", "k2", "phrase", "start", "len").agg(F.count(F.lit(1)).alias("n"))
+    return met.filter("n = len").select("k1", "k2", "phrase", "start", "len"), texts.select("k1", "k2", F.size("w").cast("long").alias("n_words"))
 
 
 def proximity_matches(docs: DataFrame, asked: DataFrame, slop: int) -> DataFrame:
@@ -100,19 +109,17 @@ def proximity_matches(docs: DataFrame, asked: DataFrame, slop: int) -> DataFrame
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(k1, k2, n_words, n_hit, items) of the texts in which a phrase of an item occurs; items are sorted as strings."""
     listed = stored(phrases(items, window), "phrases")
-    found = exact_matches(docs, listed.select("phrase", "terms").distinct())
-    spans = F.array_sort(F.array_distinct(F.transform("found", lambda s: F.struct(s["start"].alias("s"), (s["start"] + s["len"]).alias("e")))))
-    hit = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("end")),
-        lambda a, x: F.struct(
-            (a["hit"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["end"]))).cast("long").alias("hit"), F.greatest(a["end"], x["e"]).alias("end")
-        ),
-    )["hit"]
-    found = stored(found.select("k1", "k2", "n_words", hit.alias("n_hit"), F.array_distinct(F.col("found.phrase")).alias("said")), "found")
-    named = found.select("k1", "k2", F.explode("said").alias("phrase")).join(listed.select("item", "phrase"), "phrase")
+    found, sizes = exact_matches(docs, listed.select("phrase", "terms").distinct())
+    found = stored(found, "found")
+    spans = found.groupBy("k1", "k2", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
+    # A text's spans are bounded by its words.
+    before = Window.partitionBy("k1", "k2").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.lit(0)))
+    spans = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - reached))
+    hits = spans.groupBy("k1", "k2").agg(F.sum("new").cast("long").alias("n_hit"))
+    named = found.select("k1", "k2", "phrase").distinct().join(listed.select("item", "phrase"), "phrase")
     named = named.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return found.select("k1", "k2", "n_words", "n_hit").join(named, ["k1", "k2"])
+    return sizes.join(hits, ["k1", "k2"]).join(named, ["k1", "k2"]).select("k1", "k2", "n_words", "n_hit", "items")
 
 
 def is_contaminated(n_hit: Column, n_words: Column, share: int = SHARE) -> Column:

@@ -174,11 +174,16 @@ def edits(x, y):
     return row[-1]
 
 
+def one_edit(x, y):
+    if len(x) > len(y):
+        x, y = y, x
+    i = next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), len(x))
+    return len(y) - len(x) <= 1 and (x[i + 1 :] == y[i + 1 :] if len(x) == len(y) else x[i:] == y[i + 1 :])
+
+
 def cleaned(docs):
-    order = []
-    for _, text in docs:
-        order += [w for w in (tuple(s.split()) for s in (text or "").split("\n")) if len(w) >= 2 and w not in order]
-    near = {w for i, w in enumerate(order) if len(w) >= 5 and any(len(v) >= 5 and abs(len(v) - len(w)) < 2 and edits(v, w) <= 1 for v in order[:i])}
+    order = list(dict.fromkeys(w for _, text in docs for w in (tuple(s.split()) for s in (text or "").split("\n")) if len(w) >= 2))
+    near = {w for i, w in enumerate(order) if len(w) >= 5 and any(len(v) >= 5 and one_edit(v, w) for v in order[:i])}
     seen, out = set(), {}
     for doc, text in docs:
         kept = []
