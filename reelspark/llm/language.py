@@ -82,8 +82,8 @@ class Profiles:
         self.languages = languages
         rates = (counts + smoothing) / (counts.sum(0, keepdims=True) + smoothing * BUCKETS)
         self.log = np.log(rates).astype(np.float32)
-        self.likelihood = (rates / rates.max(1, keepdims=True)).astype(np.float32)
-        self.top = np.log(rates.max(1)).astype(np.float32)
+        self.likelihood = (rates / rates.max(1, keepdims=True, initial=1e-300)).astype(np.float32)
+        self.top = np.log(rates.max(1, initial=1e-300)).astype(np.float32)
 
 
 def learn(docs: DataFrame, smoothing: float = 0.05) -> Profiles:

@@ -118,12 +118,18 @@ def _tree(g: np.ndarray, h: np.ndarray, ridge: float, leaves: int) -> np.ndarray
 
 
 def _grid_tree(g: np.ndarray, h: np.ndarray, ridge: float) -> np.ndarray:
-    """A tree of two levels over a grid: one cut of the rows, then a cut of the columns on each side."""
-    _, at = _best_cut(g.sum(1), h.sum(1), ridge)
+    """A tree of two levels over a grid: the cut of the rows under which the best cuts of the columns on both sides gain most."""
     out = np.zeros_like(g)
+    if min(g.shape) < 2:
+        return out
+    gs, hs = g.cumsum(0).cumsum(1), h.cumsum(0).cumsum(1)
+    gain = np.zeros(len(g) - 1)
+    for gp, hp in ((gs[:-1], hs[:-1]), (gs[-1] - gs[:-1], hs[-1] - hs[:-1])):
+        left, right = gp[:, :-1], gp[:, -1:] - gp[:, :-1]
+        gain += (left**2 / (hp[:, :-1] + ridge) + right**2 / (hp[:, -1:] - hp[:, :-1] + ridge)).max(1)
+    at = int(gain.argmax()) + 1
     for rows in (slice(0, at), slice(at, len(g))):
-        if rows.stop > rows.start:
-            out[rows] = _tree(g[rows].sum(0), h[rows].sum(0), ridge, 2)
+        out[rows] = _tree(g[rows].sum(0), h[rows].sum(0), ridge, 2)
     return out
 
 
