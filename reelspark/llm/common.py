@@ -36,8 +36,8 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z, all other characters untouched."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z to a-z, all other characters untouched; plain ASCII, where ``lower`` does the same, takes the faster function."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def text_key(text: Column) -> tuple[Column, Column]:
