@@ -1,9 +1,11 @@
 """Exact token ids of a public tokenizer file, encoding each distinct piece of text once per worker.
 
 The tokenizer library splits a text into pieces before it merges inside them, so a text's ids are its pieces' ids in order.
-Pieces are found at single spaces between non-spaces, which both supported layouts always cut at; a chunk of plain Latin
-letters, digits and signs is cut further by the layout's own pattern. Everything else - other scripts, special strings, odd
-white space, tokenizers of another layout - goes to the library uncut. The memory of pieces is bounded and dropped when full.
+A plain text of the layout that drops white space (Latin letters, digits, ASCII signs) is cut by that layout's pattern at once.
+Other texts are cut at single spaces between non-spaces, which both supported layouts always cut at; a plain chunk is cut further
+by the layout's own pattern. Everything else - other scripts, special strings, odd
+white space, tokenizers of another layout - goes to the library uncut. The memory of pieces is bounded; when it is full, what the
+texts at hand do not use is dropped, so that common words are not learned again and again.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from struct import pack
 
 import numpy as np
 
-#: Most chunks and most pieces that a worker remembers.
-REMEMBERED = 150_000
+#: About the most chunks and the most pieces that a worker remembers.
+CHUNKS, PIECES = 150_000, 200_000
 #: Latin letters that have a one-character lower case and no decomposition across pieces, with ASCII signs and digits.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+_PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-įı-ſ \t\n\r]*")
 _PLAIN_SPACED = re.compile(f" ?{_PLAIN.pattern}")
 _CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACED = re.compile(f"{_CONTRACTED}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+")
@@ -75,6 +78,12 @@ class Pieces:
             ids = [t.id for t in tokenize(piece.translate(_SHOWN))]
             remembered[piece] = len(ids) if self.counting else pack(f"<{len(ids)}I", *ids)
 
+    def _recall(self, used: set[str]) -> None:
+        """See to it that all pieces in use are remembered."""
+        if len(self.pieces) > PIECES:
+            self.pieces = {p: v for p, v in self.pieces.items() if p in used}
+        self._learn_pieces(used.difference(self.pieces))
+
     def _learn(self, chunks: set[str]) -> None:
         """Remember the values of chunks as they stand in a text (with their leading space in the spaced layout)."""
         cut, whole = [], []
@@ -84,9 +93,8 @@ class Pieces:
                 cut.append((chunk, pattern.findall(chunk if self.spaced else chunk.lower())))
             else:
                 whole.append(chunk)
-        known = self.pieces
-        self._learn_pieces({p for _, ps in cut for p in ps if p not in known})
-        get = known.__getitem__
+        self._recall({p for _, ps in cut for p in ps})
+        get = self.pieces.__getitem__
         if self.counting:
             self.chunks.update((chunk, sum(map(get, ps))) for chunk, ps in cut)
         else:
@@ -103,20 +111,31 @@ class Pieces:
         parts = text.split(" ") if not re.search(r"\s | \s|^ | $", text) else _SINGLE_SPACE.split(text)
         return [parts[0], *[" " + p for p in parts[1:]]]
 
-    def encode(self, texts: list[str]) -> list:
-        if len(self.chunks) > REMEMBERED or len(self.pieces) > REMEMBERED:
-            self.chunks.clear()
-            self.pieces.clear()
+    def _parts(self, text: str) -> list[str] | None:
+        """The pieces of a plain text in the layout without white space, else None."""
+        if self.bare and _PLAIN_TEXT.fullmatch(text) and not (self.special and self.mark in text):
+            return _BARE.findall(text.lower())
+        return None
+
+    def _by_chunks(self, texts: list[str]) -> list:
         cuts = [self._cut(t) for t in texts]
-        known = self.chunks
-        new = {c for cut in cuts if cut for c in cut if c not in known}
+        used = set().union(*filter(None, cuts))
+        if len(self.chunks) > CHUNKS:
+            self.chunks = {c: v for c, v in self.chunks.items() if c in used}
+        new = used.difference(self.chunks)
         if new:
             self._learn(new)
-        get = known.__getitem__
-        return [
-            self._whole([t])[0] if cut is None else sum(map(get, cut)) if self.counting else b"".join(map(get, cut))
-            for t, cut in zip(texts, cuts)
-        ]
+        return [self._whole([t])[0] if cut is None else self._joined(self.chunks, cut) for t, cut in zip(texts, cuts)]
+
+    def _joined(self, values: dict, parts: list[str]):
+        found = map(values.__getitem__, parts)
+        return sum(found) if self.counting else b"".join(found)
+
+    def encode(self, texts: list[str]) -> list:
+        parts = [self._parts(t) for t in texts]
+        others = iter(self._by_chunks([t for t, p in zip(texts, parts) if p is None]))
+        self._recall(set().union(*filter(None, parts)))
+        return [next(others) if p is None else self._joined(self.pieces, p) for p in parts]
 
 
 @functools.cache
