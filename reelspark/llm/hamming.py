@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import small, stored
+from reelspark.llm.common import BROADCAST_ROWS, stored
 
 BITS = 64
 #: Segment counts to choose from; a segment should have about as many bits as the number of codes has.
@@ -60,6 +60,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     width = BITS // m
     filed = codes.select("code", F.inline(F.array(*[F.struct(F.lit(j).alias("j"), _segment(F.col("code"), j, width).alias("v")) for j in range(m)])))
     filed = stored(filed, "filed")
+    # Look-ups far outnumber the queries they come from, so they are never the side that travels.
+    filed = F.broadcast(filed) if filed.count() <= BROADCAST_ROWS else filed.hint("merge")
     open_ = asked.select(F.col("code").alias("q")).distinct().withColumn("kth", F.lit(BITS))
     best = None
     for r in range(width + 1):
@@ -83,7 +85,8 @@ def _met(open_: DataFrame, filed: DataFrame, m: int, width: int, r: int) -> Data
     """(q, kth, j, code): codes filed under a value that differs from the query's segment in exactly r bits."""
     looks = F.array(*[F.struct(F.lit(j).alias("j"), _segment(F.col("q"), j, width).alias("own")) for j in range(m)])
     masks = open_.sparkSession.createDataFrame([(x,) for x in _masks(width, r)], "mask long") if r else None
-    asked = open_.select("q", "kth", F.inline(looks))
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = open_.repartition(parts, "q").select("q", "kth", F.inline(looks))
     if masks is None:
         asked = asked.withColumn("v", F.col("own"))
     else:
