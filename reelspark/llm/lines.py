@@ -9,6 +9,13 @@ no pairs within a group are formed.
 Before variants are emitted, lines without any possible partner are set aside without loss: one edit leaves either the
 first or the last half of the words untouched, so a line whose halves no other line shares has no neighbour.
 
+From twice ``per_words`` words on, the bound grows: a line of n words may be k = n // ``per_words`` edits from a shorter or
+equal one. k edits leave one of any k + 1 disjoint runs of its words untouched, so k + 1 runs of the longer line are looked up
+among all runs of the others, at most k places apart; runs that a sample finds in many lines are avoided where the rest
+suffices. Hashes of runs are dealt in packed form and met in sorted arrays, so only runs that two lines share become rows.
+What meets is compared with the earliest line of its run first; lines not settled by that meet all earlier ones, a sketch of
+their words ahead of the whole edit distance.
+
 Order is (doc_id, text, line number), a null doc_id first. Lines under ``min_words`` words are left alone, lines under
 ``near_words`` words only lose exact repetitions. A line goes if an earlier one lies within the bound, whether or not that
 one stays. Defined results: null texts stay null; rows that agree in doc_id and text count as one document and change
@@ -30,6 +37,10 @@ from pyspark.sql import types as T
 from reelspark.llm.common import BROADCAST_ROWS, small, stored, text_key
 
 MIN_WORDS, NEAR_WORDS = 2, 5
+#: Words for each edit that a line may differ by (one edit from ``near_words`` words on); None stands for one edit at any length.
+PER_WORDS = 5
+#: Runs of words to one packed bucket, sampled lines, and the share of these from which on a run is avoided.
+BUCKET_RUNS, SAMPLE_LINES, HOT_SHARE = 1_000_000, 20_000, 1 / 500
 #: Fixed moduli and base of the sequence hash (two primes under 2 ** 31).
 PRIMES, BASE = (2147483647, 2147483629), 1_000_003
 
@@ -110,7 +121,7 @@ def within_one(x: Column, y: Column) -> Column:
     return (m - n <= 1) & ((first == 0) | F.when(m == n, replaced).otherwise(added))
 
 
-def near_lines(places: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def within_one_lines(places: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(h1, h2) of the lines of ``places`` that an earlier line lies within one edit of, with that line's place."""
     distinct = places.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
     keys = distinct.select("h1", "h2", "place", F.explode("halves").alias("half"))
@@ -140,15 +151,204 @@ def near_lines(places: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -
     return pairs.groupBy("h1", "h2").agg(F.min("partner").alias("partner"))
 
 
+def distance(x: list[str], y: list[str]) -> int:
+    """Edit distance of two word sequences, a column of the table in the bits of one number (Myers, Hyyro)."""
+    low, ends = 0, [len(x), len(y)]
+    while low < min(ends) and x[low] == y[low]:
+        low += 1
+    while min(ends) > low and x[ends[0] - 1] == y[ends[1] - 1]:
+        ends = [ends[0] - 1, ends[1] - 1]
+    x, y = x[low : ends[0]], y[low : ends[1]]
+    if not x or not y:
+        return len(x) + len(y)
+    at: dict[str, int] = {}
+    for i, w in enumerate(x):
+        at[w] = at.get(w, 0) | 1 << i
+    full, last, out = (1 << len(x)) - 1, 1 << len(x) - 1, len(x)
+    up, down = full, 0
+    for w in y:
+        match = at.get(w, 0)
+        over = match | down
+        match |= (((match & up) + up) ^ up) & full
+        right = down | full & ~(match | up)
+        left = up & match
+        out += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | full & ~(over | right), right & over
+    return out
+
+
+@F.pandas_udf(T.BooleanType())
+def _within(mine: pd.Series, other: pd.Series, bound: pd.Series) -> pd.Series:
+    return pd.Series([distance(list(x), list(y)) <= k for x, y, k in zip(mine, other, bound)], dtype=bool)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _sketch(lines: pd.Series) -> pd.Series:
+    """256 bits, one turned by each word: an edit turns two at most."""
+    out = []
+    for words in lines:
+        bits = 0
+        for w in words:
+            bits ^= 1 << (xxhash.xxh64_intdigest(w, 3) & 255)
+        out.append(np.frombuffer(bits.to_bytes(32, "little"), np.int64))
+    return pd.Series(out, dtype=object)
+
+
+def _run_words(n: int, per_words: int) -> int:
+    return max(1, min(per_words - 1, n // (n // per_words + 1)))
+
+
+def runs(lines: list[list[str]], per_words: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, position, asked) of all runs of words to be found, and of the k + 1 disjoint ones each line asks for."""
+    n = np.array([len(w) for w in lines], np.int64)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for words in lines for w in words], np.uint64)
+    starts = np.cumsum(n) - n
+    line = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(hashes)) - starts[line]
+    whole, edge = max(1, per_words - 1), per_words * max(2, per_words - 1)
+    widths = {_run_words(m, per_words) for m in range(2 * per_words, edge)} | {whole}
+    key_of, out = {}, []
+    for q in sorted(widths):
+        keys = np.full(len(hashes), q, np.uint64)
+        for i in range(q):
+            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.append(hashes[i:], np.zeros(min(i, len(hashes)), np.uint64))
+        keys ^= keys >> np.uint64(29)
+        key_of[q] = keys
+        found = (place + q <= n[line]) & ((n[line] < edge) | (q == whole))
+        out.append((keys[found], line[found], place[found], np.zeros(int(found.sum()), bool)))
+    asking = np.flatnonzero(n >= 2 * per_words)
+    k = n[asking] // per_words
+    width = np.minimum(whole, np.maximum(1, n[asking] // (k + 1)))
+    of = np.repeat(np.arange(len(asking)), k + 1)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(k + 1) - (k + 1), k + 1)
+    at = nth * n[asking][of] // (k[of] + 1)
+    flat = starts[asking][of] + at
+    keys = np.zeros(len(of), np.uint64)
+    for q, all_keys in key_of.items():
+        keys = np.where(width[of] == q, all_keys[flat], keys) if len(of) else keys
+    for i in np.unique(of[np.isin(keys, hot)]) if len(hot) else ():
+        q, first, size = int(width[i]), int(starts[asking[i]]), int(n[asking[i]])
+        usable = ~np.isin(key_of[q][first : first + size - q + 1], hot)
+        picked, free = [], 0
+        for p in np.flatnonzero(usable).tolist():
+            if p >= free and len(picked) <= k[i]:
+                picked.append(p)
+                free = p + q
+        if len(picked) > k[i]:
+            at[of == i] = picked
+            keys[of == i] = key_of[q][first + np.array(picked)]
+    out.append((keys, asking[of], at, np.ones(len(of), bool)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _shared_runs(lines: DataFrame, per_words: int, n_words: int, n_lines: int) -> DataFrame:
+    """(key, h1, pos, asked) of the runs that one line asks for and another has."""
+    step = max(1, n_lines // SAMPLE_LINES)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, line, _, _ = runs([list(w) for w in batch["words"]], per_words, np.array([], np.uint64))
+            yield pd.DataFrame({"key": keys.view(np.int64), "line": line}).drop_duplicates()[["key"]]
+
+    sample = lines.filter(F.pmod("h1", F.lit(step)) == 0).groupBy("h1").agg(F.first("words").alias("words"))
+    often = sample.select("words").mapInPandas(counted, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows = often.filter(F.col("n") > max(20, HOT_SHARE * min(n_lines, n_lines / step))).select("key").collect()
+    hot = np.array(sorted(r.key for r in rows), np.int64).view(np.uint64)
+    buckets = max(12, n_words // BUCKET_RUNS)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, line, at, asked = runs([list(w) for w in batch["words"]], per_words, hot)
+            bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            ids = batch["h1"].to_numpy(np.int64)
+            parts = [p for p in np.split(order, cuts) if len(p)]
+            yield pd.DataFrame(
+                {
+                    "bucket": [int(bucket[p[0]]) for p in parts],
+                    "keys": [keys[p].tobytes() for p in parts],
+                    "ids": [ids[line[p]].tobytes() for p in parts],
+                    "at": [(at[p] * 2 + asked[p]).astype(np.int32).tobytes() for p in parts],
+                }
+            )
+
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        keys, ids, at = (np.frombuffer(b"".join(group[c]), t) for c, t in (("keys", np.int64), ("ids", np.int64), ("at", np.int32)))
+        order = np.argsort(keys, kind="stable")
+        keys, ids, at = keys[order], ids[order], at[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        good = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) & (np.maximum.reduceat(at & 1, first) == 1)
+        kept = np.repeat(good, np.diff(np.append(first, len(keys))))
+        return pd.DataFrame({"key": keys[kept], "h1": ids[kept], "pos": at[kept] >> 1, "asked": (at[kept] & 1) == 1}).drop_duplicates()
+
+    dealt = lines.select("h1", "words").mapInPandas(packed, "bucket int, keys binary, ids binary, at binary")
+    return dealt.groupBy("bucket").applyInPandas(met, "key long, h1 long, pos int, asked boolean")
+
+
+def _verified(met: DataFrame, own: DataFrame, per_words: int) -> DataFrame:
+    """The pairs (h1, h2, place, partner) of ``met`` whose lines lie within the bound of the longer one."""
+    mine = own.select("h1", "h2", F.col("words").alias("mine"), F.col("sketch").alias("s"))
+    other = own.select(F.xxhash64("place").alias("p"), F.col("place").alias("partner_at"), F.col("words").alias("other"), F.col("sketch").alias("t"))
+    pairs = met.withColumn("p", F.xxhash64("partner")).join(mine, ["h1", "h2"]).join(other, "p").filter(F.col("partner").eqNullSafe(F.col("partner_at")))
+    bound = F.floor(F.greatest(F.size("mine"), F.size("other")) / per_words).cast("int")
+    turned = F.aggregate(F.zip_with("s", "t", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    pairs = pairs.withColumn("bound", bound).filter((turned <= 2 * F.col("bound")) & (F.abs(F.size("mine") - F.size("other")) <= F.col("bound")))
+    return pairs.filter(_within("mine", "other", "bound")).select("h1", "h2", "place", "partner")
+
+
+def within_more_lines(places: DataFrame, docs: DataFrame, near: DataFrame, min_words: int, per_words: int) -> DataFrame:
+    """(h1, h2) of lines of 2 * ``per_words`` words and more that an earlier line lies within the bound of, beyond those of ``near``."""
+    least = max(1, 2 * per_words - 2)
+    long = places.filter(F.col("n") >= least)
+    total = long.agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("lines")).first()
+    lines = _lines(docs, max(min_words, least)).select(*_identity(), "place", "words")
+    shared = stored(_shared_runs(lines, per_words, total["words"] or 0, total["lines"]), "runs")
+    ids = stored(shared.select("h1").distinct(), "run_lines")
+    first = long.join(small(ids), "h1").groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("n").alias("n"))
+    first = stored(first, "run_places")
+    own = lines.join(small(first.select("h1", "h2", F.col("place").alias("first"))), ["h1", "h2"]).filter(F.col("place").eqNullSafe(F.col("first")))
+    own = own.groupBy("h1", "h2").agg(F.first("place").alias("place"), F.first("words").alias("words")).withColumn("sketch", _sketch("words"))
+    own = stored(own, "run_words")
+    settled = near.select("h1", "h2", F.lit(True).alias("settled"))
+    filed = shared.join(small(first), "h1").join(settled, ["h1", "h2"], "left").withColumn("settled", F.col("settled").isNotNull())
+    filed = stored(filed, "filed_runs")
+
+    earliest = filed.groupBy("key").agg(F.min("place").alias("partner"))
+    met = filed.filter("not settled").join(earliest, "key").filter(F.col("partner") < F.col("place"))
+    met = met.groupBy("h1", "h2", "partner").agg(F.first("place").alias("place"))
+    found = stored(_verified(met, own, per_words).groupBy("h1", "h2").agg(F.min("partner").alias("partner")), "near_first")
+
+    open_ = filed.filter("not settled").join(small(found.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    open_ = stored(open_.select("key", "h1", "h2", "place", "n", "pos", "asked"), "open_runs")
+    partner = filed.select("key", F.col("place").alias("partner"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("asked").alias("asks"))
+    met = open_.join(partner, "key").filter((F.col("partner") < F.col("place")) & (F.col("asked") != F.col("asks")))
+    asker, holder = F.when(F.col("asked"), F.col("n")).otherwise(F.col("m")), F.when(F.col("asked"), F.col("m")).otherwise(F.col("n"))
+    bound = F.floor(asker / per_words)
+    met = met.filter((asker - holder).between(0, bound) & (F.abs(F.col("pos") - F.col("at")) <= bound))
+    met = met.groupBy("h1", "h2", "partner").agg(F.first("place").alias("place"))
+    rest = _verified(met, own, per_words).groupBy("h1", "h2").agg(F.min("partner").alias("partner"))
+    return found.unionByName(rest)
+
+
+def near_lines(places: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS, per_words: int | None = PER_WORDS) -> DataFrame:
+    """(h1, h2) of the lines of ``places`` that an earlier line lies within the bound of, with the place of one such line."""
+    if per_words is None:
+        return within_one_lines(places, docs, min_words)
+    one = stored(within_one_lines(places, docs, min_words), "near_one")
+    return one.unionByName(within_more_lines(places, docs, one, min_words, per_words))
+
+
 def _identity() -> tuple[Column, Column]:
     return F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(doc, k, line_no, near): the lines to remove; near tells one edit from an exact repetition."""
-    lines = _lines(docs, min_words).select(*_identity(), "place", _half_keys(F.col("words"), near_words).alias("halves"))
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, per_words: int | None = PER_WORDS) -> DataFrame:
+    """(doc, k, line_no, near): the lines to remove; near tells edits from an exact repetition."""
+    lines = _lines(docs, min_words).select(*_identity(), "place", F.size("words").alias("n"), _half_keys(F.col("words"), near_words).alias("halves"))
     places = stored(lines, "lines")
-    near = near_lines(places, docs, min_words).select("h1", "h2", F.lit(True).alias("near"))
+    near = near_lines(places, docs, min_words, per_words).select("h1", "h2", F.lit(True).alias("near"))
     firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     going = firsts.join(near, ["h1", "h2"], "left").filter("n > 1 or near")
     going = small(stored(going.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "going"))
@@ -156,9 +356,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     return gone.select("place.doc", "place.k", "place.line_no", "near")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, per_words: int | None = PER_WORDS) -> DataFrame:
     """Columns row (the document with its remaining text), n_lines, n_removed, n_near and emptied of every row."""
-    gone = repeated_lines(docs, min_words, near_words)
+    gone = repeated_lines(docs, min_words, near_words, per_words)
     gone = gone.groupBy("doc", "k").agg(F.collect_set("line_no").alias("gone"), F.sum(F.col("near").cast("long")).alias("n_near"))
     gone = stored(gone, "gone")
     few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_ROWS
@@ -181,6 +381,6 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
     )
 
 
-def keep_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated lines and without the documents that nothing is left of."""
-    return dedup(docs).filter(~F.col("emptied")).select("row.*")
+def keep_lines(docs: DataFrame, per_words: int | None = None) -> DataFrame:
+    """``docs`` without repeated lines, one edit at any length by default, and without the documents that nothing is left of."""
+    return dedup(docs, per_words=per_words).filter(~F.col("emptied")).select("row.*")
