@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from reelspark.llm.common import BROADCAST_ROWS, small, stored, text_key
 
 MIN_WORDS, NEAR_WORDS = 2, 5
+#: Least words of a line in the query: exact repetition covers every line with a word.
+ANY_WORDS = 1
 #: Words for each edit that a line may differ by (one edit from ``near_words`` words on); None stands for one edit at any length.
 PER_WORDS = 5
 #: Runs of words to one packed bucket, sampled lines, and the share of these from which on a run is avoided.
@@ -381,6 +383,6 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
     )
 
 
-def keep_lines(docs: DataFrame, per_words: int | None = None) -> DataFrame:
+def keep_lines(docs: DataFrame, min_words: int = MIN_WORDS, per_words: int | None = None) -> DataFrame:
     """``docs`` without repeated lines, one edit at any length by default, and without the documents that nothing is left of."""
-    return dedup(docs, per_words=per_words).filter(~F.col("emptied")).select("row.*")
+    return dedup(docs, min_words, per_words=per_words).filter(~F.col("emptied")).select("row.*")

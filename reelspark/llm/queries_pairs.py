@@ -31,7 +31,7 @@ def op2_decontamination(spark, sf):
 
 @query("op9_line_dedup")
 def op9_line_dedup(spark, sf):
-    found = lines.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    found = lines.dedup(table(spark, sf, "documents").select("doc_id", "text"), lines.ANY_WORDS)
     return found.select("row.doc_id", "row.text", "n_lines", "n_removed", "n_near", "emptied")
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from reelspark.llm import lines
+from reelspark.llm.queries import QUERIES
 from test_pairs import edits
 
 
@@ -74,3 +75,12 @@ def test_asked_runs_are_disjoint_and_avoid_hot_ones():
             assert len(mine) == (len(words) // 5 + 1 if len(words) >= 10 else 0)
             width = lines._run_words(len(words), 5)
             assert all(b - a >= width for a, b in zip(mine, mine[1:] + [len(words)]))
+
+
+def test_lines_of_one_word(spark, make, tmp_path):
+    texts = ["Les.\nLes.\n字字字字字\nhttp://x.org/y", "字字字字字\nkept here", "http://x.org/y", "a b\n\n Les.", None, "", "x"]
+    make(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(list(enumerate(texts)))
+    got = {r.doc_id: r.text for r in QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == want and want[1] == "kept here"
+    assert {r.doc_id for r in lines.keep_lines(make(texts), lines.ANY_WORDS).collect()} == {0, 1, 3, 4, 5, 6}
