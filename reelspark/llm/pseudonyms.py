@@ -8,6 +8,8 @@ their country and leading digit, mail addresses their domain. The permutation is
 and value only, so equal values stay linked across documents, and ``reveal`` undoes it with the key.
 
 The one overlap: slash dates that only make sense with the month first share their range with those that have the day first.
+A card may stand in a chain of digit groups joined by single spaces or hyphens: each run of groups with 13 to 19 digits that passes
+the Luhn check counts, the leftmost and longest first.
 Defined results: null text stays null; text without private values stays as it is; values that fail validation stay; other
 columns pass through; repeated rows change alike; empty tables give no rows.
 """
@@ -27,7 +29,9 @@ ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SLASH_DATE = r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?|(?<![0-9+(.-]))(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{10,14}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: Digits that may hold a card, with the groups behind them up to the next value of another kind: a card may start at any group.
+CARD = rf"(?<![0-9])[0-9](?:[ -]?[0-9]){{12,18}}(?![0-9])(?:[ -](?!{'|'.join([EMAIL, ADDRESS, ISO_DATE, SLASH_DATE, SOCIAL, PHONE])})[0-9]++)*+"
+CHAIN = r"[0-9](?:[ -]?[0-9]){12,}"
 PRIVATE = "|".join([EMAIL, ADDRESS, ISO_DATE, SLASH_DATE, SOCIAL, PHONE, CARD])
 
 
@@ -203,6 +207,43 @@ def _card_digits(value: Column, digits: Column, key: str, back: bool) -> Column:
     return F.when(valid, _let(F.concat(F.slice(digits, 1, 1), new), written))
 
 
+def _cards(value: Column, key: str, back: bool) -> Column:
+    """The chain as an array of (kind, text): groups from left to right, from each the longest run of groups that is a card."""
+    signs = F.regexp_extract_all(value, F.lit("[ -]"), F.lit(0))
+    units = F.transform(F.split(value, "[ -]"), lambda g, i: F.concat(F.when(i > 0, F.get(signs, i - 1)).otherwise(""), g))
+    return _let(units, lambda x: _parted(x, key, back))
+
+
+def _parted(units: Column, key: str, back: bool) -> Column:
+    def run(i: Column, j: Column) -> Column:
+        return F.array_join(F.slice(units, i + 1, j - i + 1), "")
+
+    def is_card(text: Column) -> Column:
+        return _let(_digits(text), lambda d: F.size(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
+
+    def piece(kind: Column, text: Column) -> Column:
+        return F.array(F.struct(kind.alias("kind"), text.alias("text")))
+
+    none = F.lit(None).cast("string")
+
+    def turn(s: Column, i: Column) -> Column:
+        ends = F.filter(F.sequence(i, F.least(i + 18, F.size(units) - 1)), lambda j: is_card(run(i, j)))
+
+        def taken(end: Column) -> Column:
+            text = run(i, end)
+            head = F.regexp_extract(text, "^[ -]", 0)
+            card = F.concat(piece(none, head), piece(F.lit("card"), _card(F.substr(text, F.length(head) + 1), key, back)))
+            return F.struct(
+                F.concat(s["out"], F.when(end.isNotNull(), card).otherwise(piece(none, F.get(units, i)))).alias("out"),
+                F.coalesce(end + 1, i + 1).alias("next"),
+            )
+
+        return F.when(i < s["next"], s).otherwise(_let(F.array_max(ends), taken))
+
+    start = F.struct(F.array().cast("array<struct<kind:string,text:string>>").alias("out"), F.lit(0).alias("next"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(units) - 1), start, turn, lambda s: s["out"])
+
+
 KINDS = {
     "email": (EMAIL, _email),
     "address": (ADDRESS, _address),
@@ -229,6 +270,15 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     return out
 
 
+def pieces(value: Column, key: str) -> Column:
+    """``pseudonym`` as an array; where a chain of digit groups is not valid as a whole, the cards inside and what lies between."""
+
+    def parted(whole: Column) -> Column:
+        return F.when(whole["kind"].isNull() & value.rlike(f"^{CHAIN}$"), _cards(value, key, False)).otherwise(F.array(whole))
+
+    return _let(pseudonym(value, key), parted)
+
+
 def reveal(value: Column, key: str) -> Column:
     return pseudonym(value, key, back=True)["text"]
 
@@ -239,12 +289,12 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     values = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PRIVATE), F.lit(0)))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), values.alias("values"))
     some = F.col("values").isNotNull() & (F.size("values") > 0)
-    rows = rows.select("row", F.when(some, F.transform("values", lambda v: pseudonym(v, key))).alias("new"))
+    rows = rows.select("row", F.when(some, F.transform("values", lambda v: pieces(v, key))).alias("new"))
     between = F.split("row.text", PRIVATE, -1)
-    ends = F.concat(F.col("new.text"), F.array(F.lit("")))
+    ends = F.concat(F.transform("new", lambda x: F.array_join(x["text"], "")), F.array(F.lit("")))
     built = F.array_join(F.zip_with(between, ends, lambda a, b: F.concat(a, b)), "")
     return rows.select(
         "row",
         F.when(F.col("new").isNull(), F.col("row.text")).otherwise(built).alias("text"),
-        F.coalesce(F.filter("new", lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,text:string>>")).alias("found"),
+        F.coalesce(F.filter(F.flatten("new"), lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,text:string>>")).alias("found"),
     )
