@@ -300,9 +300,9 @@ def _verified(met: DataFrame, own: DataFrame, per_words: int) -> DataFrame:
     return pairs.filter(_within("mine", "other", "bound")).select("h1", "h2", "place", "partner")
 
 
-def within_more_lines(places: DataFrame, docs: DataFrame, near: DataFrame, min_words: int, per_words: int) -> DataFrame:
+def within_more_lines(places: DataFrame, docs: DataFrame, near: DataFrame, min_words: int, near_words: int, per_words: int) -> DataFrame:
     """(h1, h2) of lines of 2 * ``per_words`` words and more that an earlier line lies within the bound of, beyond those of ``near``."""
-    least = max(1, 2 * per_words - 2)
+    least = max(1, near_words, 2 * per_words - 2)
     long = places.filter(F.col("n") >= least)
     total = long.agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("lines")).first()
     lines = _lines(docs, max(min_words, least)).select(*_identity(), "place", "words")
@@ -334,12 +334,12 @@ def within_more_lines(places: DataFrame, docs: DataFrame, near: DataFrame, min_w
     return found.unionByName(rest)
 
 
-def near_lines(places: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS, per_words: int | None = PER_WORDS) -> DataFrame:
+def near_lines(places: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, per_words: int | None = PER_WORDS) -> DataFrame:
     """(h1, h2) of the lines of ``places`` that an earlier line lies within the bound of, with the place of one such line."""
     if per_words is None:
         return within_one_lines(places, docs, min_words)
     one = stored(within_one_lines(places, docs, min_words), "near_one")
-    return one.unionByName(within_more_lines(places, docs, one, min_words, per_words))
+    return one.unionByName(within_more_lines(places, docs, one, min_words, near_words, per_words))
 
 
 def _identity() -> tuple[Column, Column]:
@@ -350,7 +350,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     """(doc, k, line_no, near): the lines to remove; near tells edits from an exact repetition."""
     lines = _lines(docs, min_words).select(*_identity(), "place", F.size("words").alias("n"), _half_keys(F.col("words"), near_words).alias("halves"))
     places = stored(lines, "lines")
-    near = near_lines(places, docs, min_words, per_words).select("h1", "h2", F.lit(True).alias("near"))
+    near = near_lines(places, docs, min_words, near_words, per_words).select("h1", "h2", F.lit(True).alias("near"))
     firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     going = firsts.join(near, ["h1", "h2"], "left").filter("n > 1 or near")
     going = small(stored(going.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "going"))

@@ -84,3 +84,9 @@ def test_lines_of_one_word(spark, make, tmp_path):
     got = {r.doc_id: r.text for r in QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == want and want[1] == "kept here"
     assert {r.doc_id for r in lines.keep_lines(make(texts), lines.ANY_WORDS).collect()} == {0, 1, 3, 4, 5, 6}
+
+
+def test_near_words_hold_for_more_edits(make):
+    words = [f"w{i}" for i in range(15)]
+    docs = [(0, " ".join(words)), (1, " ".join(["x", *words[1:-1], "y"]))]
+    assert [sum(r.n_removed for r in lines.dedup(make(docs), near_words=n).collect()) for n in (5, 16)] == [1, 0]
