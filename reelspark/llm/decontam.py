@@ -95,12 +95,13 @@ def exact_matches(texts: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFr
 def proximity_matches(docs: DataFrame, asked: DataFrame, slop: int) -> DataFrame:
     """(k1, k2, phrase, start): starts around which every term of a phrase lies within ``slop`` words of its place.
 
-    The rarest term fixes the start; the others are looked up in the index of the texts that have it.
+    The rarest term leaves the starts up to ``slop`` words around its own; the others are looked up in the index of the texts that have it.
     """
     texts = index(docs)
     placed = asked.select("phrase", F.posexplode("terms").alias("off", "term"))
     first = rarest(texts, asked, 1).select("phrase", "term", "off", "len")
-    begin = postings(texts, first).select("k1", "k2", "phrase", "len", (F.col("pos") - F.col("off")).alias("start")).distinct()
+    own, shifts = F.col("pos") - F.col("off"), F.sequence(F.lit(-slop), F.lit(slop))
+    begin = postings(texts, first).select("k1", "k2", "phrase", "len", F.explode(F.transform(shifts, lambda x: own + x)).alias("start")).distinct()
     rest = postings(texts, placed).select("k1", "k2", "phrase", "off", (F.col("pos") - F.col("off")).alias("at"))
     met = begin.join(rest, ["k1", "k2", "phrase"]).filter(F.abs(F.col("at") - F.col("start")) <= slop)
     met = met.groupBy("k1", "k2", "phrase", "start", "len").agg(F.count_distinct("off").alias("n"))
