@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import BROADCAST_ROWS, stored
 
 BITS = 64
-#: Segment counts to choose from; a segment should have about as many bits as the number of codes has.
-CHOICES = (8, 4, 2)
+#: Segment counts to choose from; a segment should have about as many bits as the number of codes has. Two segments of
+#: 32 bits would need up to C(32, r) masks in a plan (906,192 in round 6); four need 12,870 at most, whatever the number of codes.
+CHOICES = (8, 4)
 
 
 def sign_code(vector: Column) -> Column:
