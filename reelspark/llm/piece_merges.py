@@ -26,6 +26,7 @@ import functools
 import itertools
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-#: Most parts and most pairs of pieces that a worker remembers.
-PARTS, PAIRS = 150_000, 400_000
+#: Most parts (twice, see ``before``) and most pairs of pieces that a worker remembers.
+PARTS, PAIRS = 200_000, 400_000
 
 # Kinds of pieces and of models in the file format, and what an unknown piece is decoded to.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -124,7 +125,9 @@ class Encoder(Model):
             self.shorter[i] = next((real[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in real), -1)
         together = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.cut = self._borders(together)
+        #: Ids of parts met lately, and of those met before that.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.apart: dict[tuple[int, int], bool] = {}
         self._decoding()
 
@@ -145,55 +148,57 @@ class Encoder(Model):
         alone = "\n" if not any("\n" in t for t in together) else ""
         return re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + (f"|{alone}" if alone else ""))
 
-    def longest(self, text: str, at: int) -> int:
-        """The longest piece at a position."""
-        return next(self.automaton.iter_long(text[at : at + self.widest]))[1]
-
     def backtrack(self, text: str) -> list[int]:
         """Ids of a text of known characters."""
-        failed, ids, size = bytearray(len(text) + 1), [], len(text)
-        at, apart, length = 0, self.apart, self.length
-        piece = self.longest(text, 0) if text else -1
+        size, widest = len(text), self.widest
+        failed, ids = bytearray(size + 1), []
+        find, apart, length, shorter = self.automaton.iter_long, self.apart, self.length, self.shorter
+        at, last = 0, -1
         while at < size:
-            last = ids[-1] if ids else -1
-            while piece >= 0:
-                if not failed[at + length[piece]]:
-                    fits = last < 0 or apart.get((last, piece))
+            # Every character is a piece, so the first match begins here; nothing longer than the widest piece can.
+            piece = next(find(text[at : at + widest]))[1]
+            while True:
+                end = at + length[piece]
+                if not failed[end]:
+                    if last < 0:
+                        break
+                    fits = apart.get((last, piece))
                     if fits or fits is None and self.stay_apart(last, piece):
                         break
-                piece = self.shorter[piece]
-            else:
-                failed[at] = 1
-                at, piece = at - length[last], self.shorter[ids.pop()]
-                continue
+                piece = shorter[piece]
+                while piece < 0:
+                    failed[at] = 1
+                    ids.pop()
+                    at -= length[last]
+                    piece, last = shorter[last], ids[-1] if ids else -1
             ids.append(piece)
-            at += length[piece]
-            if at < size:
-                piece = self.longest(text, at)
+            last, at = piece, end
         return ids
 
     def _part(self, text: str) -> bytes:
         if self.single.issuperset(text):
-            return np.array(self.backtrack(text), "<i4").tobytes()
+            return array("i", self.backtrack(text)).tobytes()
         ids, start = [], 0
         for i, c in enumerate(text):
             if c not in self.single:
                 ids += self.backtrack(text[start:i])
                 ids += [self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown]
                 start = i + 1
-        return np.array(ids + self.backtrack(text[start:]), "<i4").tobytes()
+        return array("i", ids + self.backtrack(text[start:])).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids of ``text`` as little-endian 32-bit numbers."""
+        """The ids of ``text`` as 32-bit numbers."""
         if not text:
             return b""
-        known, out = self.known, []
-        if len(known) > PARTS:
-            known.clear()
+        if len(self.known) > PARTS:
+            self.before, self.known = self.known, {}
+        known, before, out = self.known, self.before, []
         for part in self.cut.findall((BLANK if self.leads else "") + text.replace(" ", BLANK)):
             ids = known.get(part)
             if ids is None:
-                ids = self._part(part)
+                ids = before.get(part)
+                if ids is None:
+                    ids = self._part(part)
                 if len(part) < 64:
                     known[part] = ids
             out.append(ids)
@@ -203,7 +208,7 @@ class Encoder(Model):
         """A model without byte pieces gives one unknown piece for a run of unknown characters."""
         if self.bytes:
             return ids
-        numbers = np.frombuffer(ids, "<i4")
+        numbers = np.frombuffer(ids, "i4")
         again = np.zeros(len(numbers), bool)
         again[1:] = (numbers[1:] == self.unknown) & (numbers[:-1] == self.unknown)
         return numbers[~again].tobytes()
@@ -273,7 +278,7 @@ def round_trip(text: Column, path: str) -> Column:
         known = encoder(path)
         for batch in batches:
             rows = [known.encode(t) for t in batch.to_pylist()]
-            decoded = [known.decode(np.frombuffer(r, "<i4").tolist()) for r in rows]
+            decoded = [known.decode(np.frombuffer(r, "i4").tolist()) for r in rows]
             yield pa.StructArray.from_arrays([_lists(rows), pa.array(decoded, pa.string())], names=["ids", "decoded"])
 
     return both(F.coalesce(text, F.lit("")))
