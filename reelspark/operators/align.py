@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelspark.operators.ordered import HOUR_MS, Run, numbered, running
+from reelspark.operators.ordered import BUCKET_ROWS, HOUR_MS, Run, numbered, running
+from reelspark.session import durable
 
 
 def _neighbours(left: DataFrame, right: DataFrame, *, width: int) -> DataFrame:
@@ -169,46 +170,43 @@ def frame_diff(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.withColumns({"mae": mae, "mse": mean_sq_diff(F.col(a), F.col(b)), "similarity": 100 - mae / 255 * 100})
 
 
-def diff_stats(pairs: DataFrame, column: str = "mae", q: float = 0.95, bins: int = 65_536) -> DataFrame:
+#: Bins of an octave in ``magnitude_bin``.
+OCTAVE_BINS = 256
+
+
+def magnitude_bin(v: Column) -> Column:
+    """An integer that never falls as ``v`` grows: sign, binary exponent and the next eight bits of a double, then infinity and NaN."""
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size))
+    within = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * OCTAVE_BINS)
+    # 1100 octaves up, so that the bins of one sign are all on one side of zero
+    place = F.when(size == float("inf"), F.lit(1 << 20)).otherwise((exponent + 1100) * OCTAVE_BINS + within)
+    return F.when(F.isnan(v), F.lit(1 << 21)).when(v == 0, F.lit(0)).otherwise(F.signum(v) * place).cast("bigint")
+
+
+def diff_stats(pairs: DataFrame, column: str = "mae", q: float = 0.95) -> DataFrame:
     """One row: n, mean, exact linearly interpolated quantile, max of ``column``.
 
-    The quantile never gathers the values: a histogram over [min, max] finds the bins holding the two order
-    statistics, and only those bins are counted value by value, in 2**20 slices each so that values crowding
-    into one bin still spread over tasks.
+    The quantile never gathers the values. They are stored once; a histogram by magnitude, which no outlier can coarsen,
+    finds the at most two bins holding the order statistics; the distinct values of those are counted, and summed up in
+    value order in buckets of rows.
     """
-    values = pairs.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"), F.avg("v").alias("mean"))
-    known = ends.select(F.struct("*").alias("e"))  # one subquery, shared by every use
-    scale = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    place = F.coalesce((F.col("v") - F.col("lo")) / scale * bins, F.lit(0.0))
-    spread = values.withColumn("e", known.scalar()).select("v", "e.lo", "e.hi")
-    binned = spread.select(
-        "v",
-        F.least(F.lit(bins - 1).cast("bigint"), F.floor(place)).alias("bin"),
-        F.floor(place * 2**20).alias("slice"),
-    )
-    key = F.lit(0).alias("g")
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("c")).select(key, "bin", "c")
-    cumulative = running(counts, ["g"], "bin", {"below": Run("sum", F.col("c"))}, width=4096)
-    cumulative = cumulative.withColumn("e", known.scalar()).select(
-        "bin", "c", F.coalesce("below", F.lit(0)).alias("below"), F.col("e.n").alias("n")
-    )
+    values = durable(pairs.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")))
+    ends = values.agg(F.max("v").alias("hi"), F.count("v").alias("n"), F.avg("v").alias("mean"))
+    binned = values.withColumn("bin", magnitude_bin(F.col("v")))
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("c")).withColumn("g", F.lit(0))
     pos = (F.col("n") - 1) * q
     lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
-    holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("c"))
-    target_bins = cumulative.filter(holds(lo_rank) | holds(hi_rank)).select("bin", "below", "n")
-    distinct = (
-        binned.join(F.broadcast(target_bins), "bin")  # at most two rows
-        .groupBy("bin", "slice", "below", "n", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    ranked = running(distinct, ["bin"], "slice", {"inside": Run("sum", F.col("c"))}, width=1, tie=["v"])
-    ranked = ranked.withColumn("from", F.col("below") + F.coalesce("inside", F.lit(0)))
-    at = lambda rank: F.max(
-        F.when((F.col("from") <= rank) & (rank < F.col("from") + F.col("c")), F.col("v"))
-    )
+    holds = lambda rank: (F.col("from") <= rank) & (rank < F.col("from") + F.col("c"))
+    below = running(counts, ["g"], "bin", {"below": Run("sum", F.col("c"))}, width=4096)
+    placed = below.withColumns({"from": F.coalesce("below", F.lit(0)), "n": ends.select("n").scalar()})
+    targets = placed.filter(holds(lo_rank) | holds(hi_rank)).select("bin", "from", "n")
+    distinct = binned.join(F.broadcast(targets), "bin").groupBy("bin", "from", "n", "v").agg(F.count(F.lit(1)).alias("c"))  # at most two bins
+    ranked = running(distinct, ["bin"], "v", {"inside": Run("sum", F.col("c"))}, rows=BUCKET_ROWS)
+    ranked = ranked.withColumn("from", F.col("from") + F.coalesce("inside", F.lit(0)))
+    at = lambda rank: F.max(F.when(holds(rank), F.col("v")))
     quantile = ranked.agg(at(lo_rank).alias("a"), at(hi_rank).alias("b"), F.max(pos - F.floor(pos)).alias("f")).select(
-        (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("q")
+        F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("q")
     )
     return ends.select("n", "mean", quantile.scalar().alias("quantile"), F.col("hi").alias("max"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import fusion
 from reelspark.operators import rules as R
 from reelspark.operators import signals as S
-from reelspark.operators.ordered import COUNT_WIDTH, Run, running
+from reelspark.operators.ordered import BUCKET_ROWS, COUNT_WIDTH, Run, running
 from reelspark.operators.settings import Detection
 
 
@@ -161,17 +161,17 @@ def batch_counters(decided: DataFrame, batch: str, color_threshold: float) -> Da
     )
 
 
-def progress(flagged: DataFrame, order: str, chunk: int = 256, *, width: int, tie=()) -> DataFrame:
+def progress(flagged: DataFrame, order: str, chunk: int = 256, *, rows: int = BUCKET_ROWS, tie=()) -> DataFrame:
     """After each chunk of frames: processed, total, and events so far.
 
-    ``flagged(video_id, <order>, is_event)``, one row per frame.
+    ``flagged(video_id, <order>, is_event)``, one row per frame; many may share a place, so buckets are bounded by ``rows``.
     """
     ranked = running(
         flagged.select("video_id", order, *tie, "is_event"),
         ["video_id"],
         order,
         {"rn": Run("sum", F.lit(1).cast("bigint"), "through")},
-        width=width,
+        rows=rows,
         tie=tie,
     )
     chunks = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.operators.ordered import HOUR_MS, Run, running
+from reelspark.operators.ordered import BUCKET_ROWS, Run, running
 
 
 def stats(spans: DataFrame, keys=("step",)) -> DataFrame:
@@ -35,18 +35,19 @@ def summary(spans: DataFrame) -> DataFrame:
     ).orderBy("is_total", F.col("total").desc(), "step")
 
 
-def pair_spans(marks: DataFrame, *, width: int = HOUR_MS) -> DataFrame:
+def pair_spans(marks: DataFrame, *, rows: int = BUCKET_ROWS) -> DataFrame:
     """start/end marks -> spans.
 
     ``marks(run_id, step, ts_ms, seq, mark)``. A later start overwrites the open one; an end whose previous mark
-    is no start yields a row without duration and ``unmatched`` set.
+    is no start yields a row without duration and ``unmatched`` set. Many marks may share an instant, so buckets are
+    bounded by ``rows``.
     """
     seen = running(
         marks,
         ["run_id", "step"],
         "ts_ms",
         {"prev": Run("last", F.struct(F.col("mark").alias("mark"), F.col("ts_ms").alias("ts_ms")))},
-        width=width,
+        rows=rows,
         tie=["seq"],
     )
     opened = F.coalesce(F.col("prev.mark") == "start", F.lit(False))

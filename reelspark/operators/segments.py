@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelspark.operators.ordered import HOUR_MS, bucket_of
+from reelspark.operators.ordered import HOUR_MS, bucket_of, filled
 
 #: Names of multi-kills by kill count.
 KILL_NAMES = {1: "single_kill", 2: "double_kill", 3: "triple_kill", 4: "quad_kill", 5: "penta_kill"}
@@ -32,14 +32,17 @@ def pad(events: DataFrame, pre_s: float = 3.0, post_s: float = 1.0) -> DataFrame
     )
 
 
-def _pieces(segments: DataFrame, width: int) -> DataFrame:
+VIDEO = ("video_id",)
+
+
+def _pieces(segments: DataFrame, width: int, keys=VIDEO) -> DataFrame:
     """Segments cut at time-bucket borders, each with the local clip it falls into.
 
     Segments are first combined per (video, start) on the map side. A segment reaching over a border leaves a
     piece in every bucket it touches; its kills count in the first one only. Local clips are found per (video,
     bucket), whose rows are bounded by the width.
     """
-    instants = segments.groupBy("video_id", "start_ms").agg(
+    instants = segments.groupBy(*keys, "start_ms").agg(
         F.max("end_ms").alias("end_ms"),
         F.count(F.lit(1)).alias("kill_count"),
         F.min("ts_ms").alias("first_ts_ms"),
@@ -53,7 +56,7 @@ def _pieces(segments: DataFrame, width: int) -> DataFrame:
             "to_ms": F.least(F.col("end_ms"), (F.col("bucket") + 1) * width),
         }
     )
-    window = W.partitionBy("video_id", "bucket").orderBy("from_ms", "start_ms")
+    window = W.partitionBy(*keys, "bucket").orderBy("from_ms", "start_ms")
     reach = F.max("to_ms").over(window.rowsBetween(W.unboundedPreceding, -1))
     opened = cut.withColumn("opened_ms", F.when(reach.isNull() | (F.col("from_ms") > reach), F.col("from_ms")))
     return opened.withColumn(
@@ -61,7 +64,7 @@ def _pieces(segments: DataFrame, width: int) -> DataFrame:
     ).drop("opened_ms")
 
 
-def _chained(local: DataFrame) -> DataFrame:
+def _chained(local: DataFrame, keys=VIDEO) -> DataFrame:
     """Add ``clip_start_ms`` to local clips (video_id, bucket, local_ms, continued, continues, ...).
 
     Only the first and last local clip of a bucket can touch a border, so a video's border clips number at most
@@ -69,14 +72,14 @@ def _chained(local: DataFrame) -> DataFrame:
     """
     edge = F.col("continued") | F.col("continues")
     keyed = local.withColumns({"edge": edge, "inner_ms": F.when(~edge, F.col("local_ms"))})
-    window = W.partitionBy("video_id", "edge", "inner_ms").orderBy("bucket", "local_ms")
+    window = W.partitionBy(*keys, "edge", "inner_ms").orderBy("bucket", "local_ms")
     start = F.max(F.when(~F.col("continued"), F.col("local_ms"))).over(window.rowsBetween(W.unboundedPreceding, 0))
     return keyed.withColumn("clip_start_ms", start).drop("edge", "inner_ms")
 
 
-def _local_clips(pieces: DataFrame, width: int) -> DataFrame:
+def _local_clips(pieces: DataFrame, width: int, keys=VIDEO) -> DataFrame:
     counted = lambda c: F.when(~F.col("continued"), F.col(c))
-    return pieces.groupBy("video_id", "bucket", "local_ms").agg(
+    return pieces.groupBy(*keys, "bucket", "local_ms").agg(
         F.max("end_ms").alias("end_ms"),
         F.coalesce(F.sum(counted("kill_count")), F.lit(0)).alias("kill_count"),
         F.min(counted("first_ts_ms")).alias("first_ts_ms"),
@@ -107,17 +110,12 @@ def merge(segments: DataFrame, *, width: int = HOUR_MS) -> DataFrame:
 
 def members(segments: DataFrame, *, width: int = HOUR_MS) -> DataFrame:
     """Every segment with ``clip_start_ms``, the key of the merged clip it went into (long form)."""
-    pieces = _pieces(segments, width)
-    clips = _chained(_local_clips(pieces, width)).select(
-        F.col("video_id").alias("of"), F.col("bucket").alias("in_bucket"), F.col("local_ms").alias("at_ms"), "clip_start_ms"
-    )
-    same = F.col("video_id").eqNullSafe(F.col("of"))
-    starts = (
-        pieces.filter(~F.col("continued"))
-        .join(clips, same & (F.col("bucket") == F.col("in_bucket")) & (F.col("local_ms") == F.col("at_ms")))
-        .select("of", F.col("start_ms").alias("from_ms"), "clip_start_ms")
-    )
-    return segments.join(starts, same & (F.col("start_ms") == F.col("from_ms"))).drop("of", "from_ms")
+    columns = segments.columns
+    keyed, keys = filled(segments, VIDEO)
+    pieces = _pieces(keyed, width, keys)
+    clips = _chained(_local_clips(pieces, width, keys), keys).select(*keys, "bucket", "local_ms", "clip_start_ms")
+    starts = pieces.filter(~F.col("continued")).join(clips, [*keys, "bucket", "local_ms"]).select(*keys, "start_ms", "clip_start_ms")
+    return keyed.join(starts, [*keys, "start_ms"]).select(*columns, "clip_start_ms")
 
 
 def merge_sessions(events: DataFrame, pre_s: float = 3.0, post_s: float = 1.0, *, width: int = HOUR_MS) -> DataFrame:

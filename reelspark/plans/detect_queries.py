@@ -380,7 +380,7 @@ def detection_progress(spark, sf):
     flagged = D.decide(frame_signals(spark, sf), settings()).withColumn(
         "is_event", F.col("is_event") & (F.col("color_pct") >= 0.01)
     )
-    return D.progress(flagged, "ts_ms", 16, width=WIDTH, tie=["event_id"])
+    return D.progress(flagged, "ts_ms", 16, tie=["event_id"])
 
 
 # --- templates and pixels -------------------------------------------------------------------------------------

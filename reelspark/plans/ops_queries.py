@@ -67,7 +67,7 @@ def span_pairing(spark, sf):
         F.col("event_id").alias("seq"),
         F.when(F.col("k") % 2 == 0, "start").otherwise("end").alias("mark"),
     )
-    return profile.pair_spans(marks, width=WIDTH)
+    return profile.pair_spans(marks)
 
 
 def results(spark, sf):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelspark import schemas
 from reelspark.functions import fmt, parse
-from reelspark.operators.ordered import numbered
+from reelspark.operators.ordered import BUCKET_ROWS, numbered
 
 #: Extensions a batch run picks up from folders, and the wider set of the catalogue view.
 BATCH_EXTS = (".mp4", ".avi", ".mkv", ".mov")
@@ -28,15 +28,26 @@ def _extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(\.[^./\\]+)$", 1)
 
 
+def _found(spark: SparkSession, root: str) -> list[bool]:
+    """Whether each path that ``root`` names, wildcards included, is a folder; a few names of the driver's, never their contents."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.isDirectory() for status in found or ()]
+
+
 def list_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """(path, length, modified, root_idx, explicit) of files at the roots; file contents are never read.
 
-    A root with wildcards or an extension names files explicitly, any other root is a folder.
+    A root that names an existing folder lists that folder, whatever its name looks like; any other names files
+    explicitly, by itself or by wildcards. A root at which there is nothing lists nothing.
     """
-    listed = None
+    listed = spark.createDataFrame([], "path string, length bigint, modified timestamp, root_idx int, explicit boolean")
     for idx, root in enumerate(roots):
-        explicit = any(c in root for c in "*?[{") or bool(os.path.splitext(root)[1])
-        part = (
+        found = _found(spark, root)
+        explicit = any(c in root for c in "*?[{") or found == [False]
+        if not found or all(found) and explicit:
+            continue
+        listed = listed.unionByName(
             spark.read.format("binaryFile")
             .load(root)
             .select(
@@ -47,13 +58,12 @@ def list_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
                 F.lit(explicit).alias("explicit"),
             )
         )
-        listed = part if listed is None else listed.unionByName(part)
-    if listed is None:
-        raise ValueError("no roots given")
     return listed
 
 
-def inventory_of(files: DataFrame, exts: Sequence[str] = BATCH_EXTS, order: str = "input") -> DataFrame:
+def inventory_of(
+    files: DataFrame, exts: Sequence[str] = BATCH_EXTS, order: str = "input", *, rows: int = BUCKET_ROWS
+) -> DataFrame:
     """Videos among listed files, one row per path.
 
     ``input``: folder files with an all-lower or all-upper extension from ``exts``, explicit files always; in order
@@ -76,12 +86,12 @@ def inventory_of(files: DataFrame, exts: Sequence[str] = BATCH_EXTS, order: str
     first = kept.groupBy("path").agg(
         F.min(F.struct("root_idx", rank.alias("rank"))).alias("first"), F.max("length").alias("length")
     )
-    # positions: count paths per (root, extension) group, then number within; groups are roots x extensions
+    # one order over all partitions, each bucket's offset a sum over the buckets before it
     keyed = first.select("path", "length", "first.root_idx", "first.rank")
     sized = keyed.withColumn("one", F.lit(0)).withColumn(
         "slot", (F.col("root_idx") * 1000 + F.col("rank")).cast("bigint")
     )
-    return numbered(sized, ["one"], "slot", "seq", width=1, tie=["path"]).drop("one", "slot", "rank")
+    return numbered(sized, ["one"], "slot", "seq", rows=rows, tie=["path"]).drop("one", "slot", "rank")
 
 
 def video_inventory(
