@@ -35,6 +35,26 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+#: Most keys that ``spread_join`` treats apart.
+HOT_KEYS = 20_000
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``lookup``, which has at most one short row for a key, however many rows of ``rows`` share a key.
+
+    Keys are counted first (combined before the shuffle). A key with over a ``HOT_KEYS``-th of all rows is met where its rows are: there are
+    fewer than ``HOT_KEYS`` such keys whatever the table, so their rows of ``lookup`` travel. All others join by shuffle.
+    Null keys match nothing. ``rows`` is read twice: store it first if it is dear.
+    """
+    counts = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "keys")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = counts.filter(F.col("__n") > max(total / HOT_KEYS, 100)).select(*keys, F.lit(True).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    few = lookup.join(F.broadcast(hot.drop("__hot")), keys, "left_semi")
+    apart = marked.filter("__hot").drop("__hot").join(F.broadcast(few), keys, how)
+    return marked.filter("__hot is null").drop("__hot").join(lookup, keys, how).unionByName(apart)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, all other characters untouched; plain ASCII, where ``lower`` does the same, takes the faster function."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from reelspark.llm import piece_merges, repair
-from reelspark.llm.common import table
+from reelspark.llm import piece_merges, prefix_trie, repair
+from reelspark.llm.common import spread_join, stored, table
 from reelspark.llm.registry import query
 
 
@@ -58,3 +58,27 @@ def op12_conversation_repair(spark, sf):
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(NOTHING)).alias("repaired_sha256"),
     )
+
+
+#: Conversations of a family begin with turns of its first one, fewer than this.
+HEAD = 4
+
+
+def rebuilt(turns):
+    """Numbered turns of conversations that begin with the first turns of their family's first, and all conversations."""
+    own = stored(prefix_trie.numbered_turns(turns), "turns")
+    turn = F.struct("pos", *prefix_trie.TURN)
+    heads = own.filter(F.col("pos") < HEAD - 1).groupBy(F.col("conv_id").alias("base")).agg(F.array_sort(F.collect_list(turn)).alias("head"))
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEAD
+    family = own.groupBy("conv_id").agg(F.lit(1).alias("one")).select("conv_id", (F.col("conv_id") - F.col("conv_id") % 20).alias("base"), taken.alias("h"))
+    head = F.filter(F.coalesce("head", F.array().cast(heads.schema["head"].dataType)), lambda t: t["pos"] < F.col("h"))
+    members = stored(family.join(heads, "base", "left").select("conv_id", "h", head.alias("head")), "members")
+    begun = members.select("conv_id", F.inline("head"))
+    rest = spread_join(own, members.select("conv_id", "h", F.size("head").alias("m")), ["conv_id"]).filter(F.col("pos") >= F.col("h"))
+    moved = rest.withColumn("pos", F.col("pos") - F.col("h") + F.col("m")).drop("h", "m")
+    return begun.unionByName(moved), members.select("conv_id")
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark, sf):
+    return prefix_trie.build(*rebuilt(table(spark, sf, "conversations")))
