@@ -87,6 +87,14 @@ def keyword_masks(norm: Column) -> Column:
     ).otherwise(F.from_json(F.lit("{}"), "map<string,bigint>"))
 
 
+def prepared(keyword: Column, position: Column) -> Column:
+    """``keyword_struct`` of a keyword column."""
+    norm = F.lower(keyword)
+    return F.struct(
+        position.cast("int").alias("kw_idx"), keyword.alias("keyword"), norm.alias("norm"), F.length(norm).alias("n"), keyword_masks(norm).alias("masks")
+    )
+
+
 def keyword_ratio(text: Column, keyword: Column) -> Column:
     """Indel ratio of a normalised text against a prepared keyword struct."""
     n = keyword["n"]

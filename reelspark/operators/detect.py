@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions import fusion
+from reelspark.operators import games as G
+from reelspark.operators import positions as P
 from reelspark.operators import rules as R
 from reelspark.operators import signals as S
 from reelspark.operators.ordered import BUCKET_ROWS, COUNT_WIDTH, Run, running
@@ -82,15 +84,32 @@ def decide(
 def detect_events(
     frames: DataFrame, obs: S.Observations, cfg: Detection, *, strict_color: bool = False, **kwargs
 ) -> DataFrame:
-    """Frames and observations -> events, for all videos at once."""
-    assembled = S.assemble(frames, obs, cfg, **kwargs).filter(gate(F.col("color_pct"), cfg.color_threshold))
-    scoped = S.scoped_signals(obs, cfg, **kwargs)
-    if scoped is not None:
-        assembled = assembled.join(scoped, list(S.KEYS), "left")
-    decided = decide(
-        assembled, cfg, scoped=F.col("scoped") if scoped is not None else None, strict_color=strict_color
-    )
-    return decided.filter("is_event").select(*frames.columns, "confidence", F.lit("kill").alias("type"), "signals", "matched_rule")
+    """Frames and observations -> events, for all videos of one game at once; rules with signals of their own cost no further pass."""
+    if any(rule.enabled and rule.affects_signals for rule in cfg.rules):
+        every = P.positions_of(cfg)
+        seen = P.observe(obs, P.literal(cfg), len(every), **kwargs)
+        ready = P.assembled(frames, seen, R.rules_column(cfg), cfg.prefilter_enabled and bool(cfg.colors))
+        scoped = F.col("scoped")
+    else:
+        ready, scoped = S.assemble(frames, obs, cfg, **kwargs), None
+    return _events(ready.filter(gate(F.col("color_pct"), cfg.color_threshold)), frames.columns, cfg, scoped, None, strict_color)
+
+
+def _events(ready: DataFrame, columns: list[str], cfg, scoped: Column | None, rules: Column | None, strict_color: bool) -> DataFrame:
+    decided = decide(ready, cfg, scoped=scoped, rules=rules, strict_color=strict_color)
+    return decided.filter("is_event").select(*columns, "confidence", F.lit("kill").alias("type"), "signals", "matched_rule")
+
+
+def detect_events_by_game(frames: DataFrame, obs: S.Observations, games: G.Games, *, strict_color: bool = False, **kwargs) -> DataFrame:
+    """Frames and observations of many games -> events, each by the settings of its own ``game``, in one pass over every channel.
+
+    Frames and observations carry a ``game`` column; frames of games without settings have no events.
+    """
+    seen = P.observe(obs, games.tag, games.positions, keys=["game"], **kwargs)
+    known = games.join(frames, G.DECISION)
+    ready = P.assembled(known, seen, F.col("rules"), F.col("gated"))
+    cfg = G.Columns()
+    return _events(ready.filter(gate(F.col("color_pct"), cfg.color_threshold)), frames.columns, cfg, F.col("scoped"), F.col("rules"), strict_color)
 
 
 def preview(

@@ -36,7 +36,7 @@ def keywords_from(table: DataFrame) -> Column:
     return prepared.agg(ordered.alias("kws")).scalar()
 
 
-def _best_in_row(norm: Column, keywords: Column, threshold: float | None, ratio) -> Column:
+def best_keyword(norm: Column, keywords: Column, threshold: float | Column | None, ratio=similarity.keyword_ratio) -> Column:
     """Best keyword of one text: struct<similarity, rank, keyword>; earlier keywords win ties.
 
     The length bound discards hopeless pairs before any character is compared.
@@ -67,7 +67,7 @@ def score_texts(texts: DataFrame, keywords: Column, threshold: float | None, rat
 
     The match leaves the row through a generator, so it is computed once, not again for every filter on it.
     """
-    best = F.array(_best_in_row(F.col("norm"), F.col("kws"), threshold, ratio))
+    best = F.array(best_keyword(F.col("norm"), F.col("kws"), threshold, ratio))
     if threshold is not None:
         best = F.filter(best, lambda b: (b["similarity"] >= threshold) & (b["similarity"] > 0))
     found = texts.withColumn("kws", keywords).select("norm", F.explode(best).alias("b"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from reelspark.functions import fusion
+from reelspark.operators import config as CF
 from reelspark.operators import detect as D
+from reelspark.operators import games as GA
 from reelspark.operators import imaging
 from reelspark.operators import rules as R
 from reelspark.operators import signals as S
@@ -286,6 +290,58 @@ def detect_events_overrides(spark, sf):
     return events.select(*ID, "matched_rule", "confidence")
 
 
+SHARED = {
+    "detection": {
+        "confidence_threshold": 0.5,
+        "weights": {"ocr": 0.4, "template": 0.3, "color": 0.2, "yolo": 0.1},
+        "ocr": {"enabled": True, "keywords": ["KILL"]},
+        "templates": {"t0": {"threshold": 0.8}, "t1": {"threshold": 0.7}, "t2": {"threshold": 0.8}},
+        "colors": {"red": {"hsv": [0, 200, 200], "tolerance": 10}, "blue": {"hsv_lower": [100, 50, 50], "hsv_upper": [130, 255, 255]}},
+        "prefilter": {"enabled": True, "color_threshold": 0.01},
+    }
+}
+OWN = {
+    "rules": {"detection": {"rules": OVERRIDDEN}},
+    "loose": {"detection": {"confidence_threshold": 0.45, "weights": {"ocr": 0.2, "template": 0.5, "color": 0.2, "yolo": 0.1}, "prefilter": {"color_threshold": 0.02}}},
+    "words": {"detection": {"ocr": {"enabled": "yes", "required": True, "keywords": ["KILL"], "threshold": 0.85}}},
+}
+GAMES = ["shared", "rules", "loose", "words"]
+LOOSE = "(ocr * (0.2 / 1.0) + template * (0.5 / 1.0) + color * (0.2 / 1.0) + yolo * (0.1 / 1.0))"
+
+
+def games_of(spark):
+    """Settings of four games, resolved from a shared document and their own layers."""
+    flat = lambda docs, key: GA.leaves(spark.createDataFrame([(k, json.dumps(d)) for k, d in docs.items()], f"{key} string, doc string"), [key], "doc")
+    named = spark.createDataFrame([(g, "shared") for g in GAMES], "game string, base string")
+    return GA.settings(CF.resolve(named, flat({"shared": SHARED}, "base"), flat(OWN, "game")))
+
+
+@query(
+    "detect_events_by_game",
+    f"""WITH {ASSEMBLED},
+    sharp AS (SELECT video_id, ts_ms, max(score) AS s FROM tm WHERE roi_id = 'base'
+              AND score >= CASE template WHEN 't1' THEN 0.95 ELSE 0.8 END GROUP BY ALL),
+    corner AS (SELECT video_id, ts_ms, max(score) AS s FROM tm WHERE roi_id = 'rule:corner' AND score >= {THRESHOLDS} GROUP BY ALL),
+    strict AS (SELECT video_id, ts_ms, CASE WHEN conf100 > 1 THEN conf100 / 100.0 ELSE CAST(conf100 AS DOUBLE) END AS w
+               FROM txt WHERE sim >= 0.85),
+    r AS (SELECT a.* EXCLUDE (ocr), video_id % 4 AS g, CASE video_id % 4 WHEN 3 THEN coalesce(w, 0.0) ELSE ocr END AS ocr,
+                 coalesce(sharp.s, 0) >= 0.8 AND color_pct >= 0.03 AS m0, coalesce(corner.s, 0) >= 0.7 AS m1, yolo > 0 AND a.ocr > 0 AS m2
+          FROM asm a LEFT JOIN sharp USING (video_id, ts_ms) LEFT JOIN corner USING (video_id, ts_ms) LEFT JOIN strict USING (video_id, ts_ms))
+    SELECT ['shared', 'rules', 'loose', 'words'][g + 1] AS game, video_id, ts_ms, event_id, ocr, template, color, yolo,
+           CASE g WHEN 1 THEN 1.0 WHEN 2 THEN round({LOOSE}, 6) ELSE round({CONF}, 6) END::DOUBLE AS confidence,
+           CASE WHEN g <> 1 THEN NULL WHEN m0 THEN 'sharp_icon' WHEN m1 THEN 'corner' ELSE 'object' END AS matched_rule
+    FROM r WHERE CASE g WHEN 0 THEN color_pct >= 0.01 AND {CONF} >= 0.5 WHEN 1 THEN color_pct >= 0.01 AND (m0 OR m1 OR m2)
+      WHEN 2 THEN color_pct >= 0.02 AND {LOOSE} >= 0.45 ELSE color_pct >= 0.01 AND ocr > 0 AND {CONF} >= 0.5 END""",
+)
+def detect_events_by_game(spark, sf):
+    """Four games with settings, rules and overrides of their own, decided in one pass over every channel."""
+    place = lambda df: df.withColumn("game", F.get(F.array(*[F.lit(g) for g in GAMES]), (F.col("video_id") % 4).cast("int")))
+    obs = observations(spark, sf)
+    tagged = S.Observations(place(obs.ocr), place(obs.templates), place(obs.colors), place(obs.objects))
+    events = D.detect_events_by_game(place(frames(spark, sf)), tagged, games_of(spark))
+    return flat_signals(events, "game", "matched_rule", F.round("confidence", 6).alias("confidence"))
+
+
 @query(
     "preview_vs_production",
     f"""WITH {SIGNALS} {BOOLS}, d AS (SELECT *, b_color AND ((b_yolo AND b_template) OR b_ocr) AS production,

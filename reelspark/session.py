@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job wants: AQE (coalescing, skew-join splitting) and UTC timestamps.
@@ -40,14 +42,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, else one inside the warehouse."""
+    """The folder that all executors see: ``spark.checkpoint.dir``, else, in a local session only, one inside the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    remote = "://" in warehouse and not warehouse.startswith("file:")
+    if not remote and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors see in spark.checkpoint.dir")
+    return f"{warehouse}/_shared"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut lineage: ``df`` is written once as a table in the shared folder and read from there, so it survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
