@@ -10,6 +10,7 @@ and value only, so equal values stay linked across documents, and ``reveal`` und
 The one overlap: slash dates that only make sense with the month first share their range with those that have the day first.
 A card may stand in a chain of digit groups joined by single spaces or hyphens: each run of groups with 13 to 19 digits that passes
 the Luhn check counts, the leftmost and longest first.
+No pattern repeats a group but possessively, which takes no stack, so texts and values may be of any length; time is in proportion to it.
 Defined results: null text stays null; text without private values stays as it is; values that fail validation stay; other
 columns pass through; repeated rows change alike; empty tables give no rows.
 """
@@ -23,7 +24,7 @@ ROUNDS = 8
 #: Days in a block that a date stays in, and the radices of its day count.
 BLOCK = (365, 200)
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SLASH_DATE = r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])"
@@ -31,7 +32,11 @@ SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?|(?<![0-9+(.-]))(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{10,14}(?![0-9])"
 #: Digits that may hold a card, with the groups behind them up to the next value of another kind: a card may start at any group.
 CARD = rf"(?<![0-9])[0-9](?:[ -]?[0-9]){{12,18}}(?![0-9])(?:[ -](?!{'|'.join([EMAIL, ADDRESS, ISO_DATE, SLASH_DATE, SOCIAL, PHONE])})[0-9]++)*+"
-CHAIN = r"[0-9](?:[ -]?[0-9]){12,}"
+CHAIN = r"[0-9](?:[ -]?[0-9]){12,}+"
+#: Most characters of a mail address before and after its @ (a fixed value of the mail standard); longer ones are none.
+MAIL_PARTS = (64, 255)
+#: Digit groups whose pieces are put together at a time, so that a chain takes time in proportion to its length.
+BLOCK_GROUPS = 512
 PRIVATE = "|".join([EMAIL, ADDRESS, ISO_DATE, SLASH_DATE, SOCIAL, PHONE, CARD])
 
 
@@ -123,7 +128,8 @@ def _email(value: Column, key: str, back: bool) -> Column:
     radices = F.transform(signs, lambda c: F.when(c.rlike("[0-9]"), 10).otherwise(26))
     base = F.transform(signs, lambda c: F.when(c.rlike("[0-9]"), 48).when(c.rlike("[a-z]"), 97).otherwise(65))
     new = permute(code, radices, key, F.concat(F.lit("mail@"), F.lower(domain)), back)
-    return F.concat(_fill(local, "[A-Za-z0-9]", F.zip_with(new, base, lambda s, b: F.chr(s + b))), F.lit("@"), domain)
+    valid = (F.length(local) <= MAIL_PARTS[0]) & (F.length(domain) <= MAIL_PARTS[1])
+    return F.when(valid, F.concat(_fill(local, "[A-Za-z0-9]", F.zip_with(new, base, lambda s, b: F.chr(s + b))), F.lit("@"), domain))
 
 
 def _address(value: Column, key: str, back: bool) -> Column:
@@ -209,8 +215,7 @@ def _card_digits(value: Column, digits: Column, key: str, back: bool) -> Column:
 
 def _cards(value: Column, key: str, back: bool) -> Column:
     """The chain as an array of (kind, text): groups from left to right, from each the longest run of groups that is a card."""
-    signs = F.regexp_extract_all(value, F.lit("[ -]"), F.lit(0))
-    units = F.transform(F.split(value, "[ -]"), lambda g, i: F.concat(F.when(i > 0, F.get(signs, i - 1)).otherwise(""), g))
+    units = F.regexp_extract_all(value, F.lit("[ -]?[0-9]+"), F.lit(0))
     return _let(units, lambda x: _parted(x, key, back))
 
 
@@ -219,15 +224,16 @@ def _parted(units: Column, key: str, back: bool) -> Column:
         return F.array_join(F.slice(units, i + 1, j - i + 1), "")
 
     def is_card(text: Column) -> Column:
-        return _let(_digits(text), lambda d: F.size(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
+        bare = F.length(F.translate(text, " -", "")).between(13, 19)
+        return bare & _let(_digits(text), lambda d: luhn_sum(d) % 10 == 0)
 
     def piece(kind: Column, text: Column) -> Column:
         return F.array(F.struct(kind.alias("kind"), text.alias("text")))
 
-    none = F.lit(None).cast("string")
+    none, last = F.lit(None).cast("string"), F.size(units) - 1
 
     def turn(s: Column, i: Column) -> Column:
-        ends = F.filter(F.sequence(i, F.least(i + 18, F.size(units) - 1)), lambda j: is_card(run(i, j)))
+        ends = F.filter(F.sequence(i, F.least(i + 18, last)), lambda j: is_card(run(i, j)))
 
         def taken(end: Column) -> Column:
             text = run(i, end)
@@ -240,8 +246,15 @@ def _parted(units: Column, key: str, back: bool) -> Column:
 
         return F.when(i < s["next"], s).otherwise(_let(F.array_max(ends), taken))
 
-    start = F.struct(F.array().cast("array<struct<kind:string,text:string>>").alias("out"), F.lit(0).alias("next"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(units) - 1), start, turn, lambda s: s["out"])
+    def state(out: Column, after: Column) -> Column:
+        return F.struct(out.alias("out"), after.alias("next"))
+
+    def block(s: Column, first: Column) -> Column:
+        groups = F.sequence(first, F.least(first + BLOCK_GROUPS - 1, last))
+        return F.aggregate(groups, state(nothing, s["next"]), turn, lambda done: state(F.concat(s["out"], done["out"]), done["next"]))
+
+    nothing = F.array().cast("array<struct<kind:string,text:string>>")
+    return F.aggregate(F.sequence(F.lit(0), last, F.lit(BLOCK_GROUPS)), state(nothing, F.lit(0)), block, lambda s: s["out"])
 
 
 KINDS = {
