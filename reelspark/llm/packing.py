@@ -9,8 +9,8 @@ padding; what it gives back waits on.
 Each task packs the rows it reads, so ids never leave the task that made them and nothing is gathered; a task leaves at most
 a dozen short sequences. Memory is bounded by the pool and one batch of rows.
 
-Defined results: null text counts as empty (only the end id remains); null and repeated doc_ids are packed like any row;
-empty tables give no rows. ``sequence_id`` is the task's number in the high bits, so ids repeat if the input is split alike.
+Defined results: null text counts as empty (only the end id remains); null and repeated doc_ids are packed like any row, ids of any
+size stay as they are; texts of any length are cut into pieces; empty tables give no rows. ``sequence_id`` is the task's number in the high bits, so ids repeat if the input is split alike.
 """
 
 from __future__ import annotations
@@ -145,7 +145,8 @@ def pack(docs: DataFrame, path: str, end_id: int, limits: Limits = Limits(), pro
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema["doc_id"].dataType
     long = T.LongType()
-    fields = [T.StructField("doc_id", kind), *(T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"))]
+    # The id goes through pandas as text: beside a null, whole numbers would become doubles there.
+    fields = [T.StructField("doc_id", T.StringType()), *(T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"))]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
     names = [f.name for f in fields]
@@ -164,7 +165,7 @@ def pack(docs: DataFrame, path: str, end_id: int, limits: Limits = Limits(), pro
         encoder, packer = pieces(path, False), Packer(limits)
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
-            keys = iter([None if pd.isna(k) else k for k in batch["doc_id"]])
+            keys = iter(batch["doc_id"].tolist())
             heads = iter(batch["prompt"].tolist() if prompt else ())
             for texts in groups([t or "" for t in batch["text"]]):
                 found = encoder.encode(texts)
@@ -177,5 +178,6 @@ def pack(docs: DataFrame, path: str, end_id: int, limits: Limits = Limits(), pro
         if rows:
             yield frame(rows, base)
 
-    columns = [docs["doc_id"], docs["text"], *([docs[prompt].alias("prompt")] if prompt else [])]
-    return docs.select(*columns).mapInPandas(run, T.StructType(fields))
+    columns = [docs["doc_id"].cast("string").alias("doc_id"), docs["text"], *([docs[prompt].alias("prompt")] if prompt else [])]
+    packed = docs.select(*columns).mapInPandas(run, T.StructType(fields))
+    return packed.select(packed["doc_id"].cast(kind).alias("doc_id"), *names[1:])
