@@ -119,8 +119,12 @@ def typed(resolved: DataFrame) -> DataFrame:
         "multi": "highlights.multikill_threshold",
         **{f"w_{s}": f"detection.weights.{s}" for s in SIGNALS},
     }
-    rows = resolved.groupBy("game").agg(*[at(path).alias(f"__{name}") for name, path in wanted.items()])
-    text = lambda name: scalar(F.col(f"__{name}"))
+    listed = {"roi", "ocr_words"}
+    found = resolved.filter(F.col("path").isin(*wanted.values())).groupBy("game").agg(*[at(path).alias(name) for name, path in wanted.items()])
+    # each leaf is parsed once, in a projection of its own; games without any of these settings still get a row
+    parsed = found.select("game", *[(F.col(n) if n in listed else scalar(F.col(n))).alias(f"__{n}") for n in wanted], F.col("ocr_sim").isNotNull().alias("__has_sim"))
+    rows = resolved.select("game").distinct().join(parsed, "game", "left")
+    text = lambda name: F.col(f"__{name}")
     whole = lambda name, default: F.coalesce(text(name).try_cast("int"), F.lit(default))
     words = F.from_json(F.col("__ocr_words"), "array<string>")
     return rows.select(
@@ -134,7 +138,7 @@ def typed(resolved: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(words, F.array().cast("array<string>")))
         .alias("keywords"),
         # the alias counts only when the key itself is absent
-        F.when(F.col("__ocr_sim").isNotNull(), parse.as_float(text("ocr_sim"), 0.8))
+        F.when(F.col("__has_sim"), parse.as_float(text("ocr_sim"), 0.8))
         .otherwise(parse.as_float(text("ocr_thr"), 0.8))
         .alias("similarity_threshold"),
         parse.as_bool(text("pre_on"), True).alias("prefilter_enabled"),

@@ -127,6 +127,7 @@ def settings(resolved: DataFrame, loaded: DataFrame | None = None) -> Games:
     ``loaded(game, name)`` names the templates that are there; without it, all configured ones. Settings are a small dimension, so
     their row count and bytes are measured here: they travel to every task only below ``TRAVEL_BYTES``.
     """
+    resolved = durable(resolved.select("game", "path", "value"))
     listed = durable(rules_of(resolved))
     base = resolved.filter(F.col("path").startswith("detection.") & (F.col("path") != "detection.rules"))
     overrides = durable(leaves(listed, ["game", "rule"], "overrides"))

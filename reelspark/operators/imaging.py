@@ -140,7 +140,9 @@ def slide_templates(images: DataFrame, templates: Mapping[str, np.ndarray]) -> D
 
     Output (image_id, template, score, x, y); a template larger than the image scores -1 without a position.
     """
-    schema = f"image_id {images.schema['image_id'].dataType.simpleString()}, template string, score double, x int, y int"
+    # the id goes through pandas as text: beside a null, whole numbers would become doubles there
+    schema = "image_id string, template string, score double, x int, y int"
+    kind = images.schema["image_id"].dataType
     prepared = {}
     for name, pixels in templates.items():
         centred = pixels.astype(np.float64) - pixels.mean()
@@ -164,4 +166,5 @@ def slide_templates(images: DataFrame, templates: Mapping[str, np.ndarray]) -> D
             out = pd.DataFrame(rows, columns=["image_id", "template", "score", "x", "y"])
             yield out.astype({"x": "Int32", "y": "Int32"})
 
-    return images.select("image_id", "width", "height", "grey").mapInPandas(search, schema)
+    found = images.select(F.col("image_id").cast("string").alias("image_id"), "width", "height", "grey").mapInPandas(search, schema)
+    return found.withColumn("image_id", F.col("image_id").cast(kind))

@@ -42,11 +42,17 @@ def _lines(section: int, texts: list[Column]) -> Column:
 
 
 def lines(
-    videos: DataFrame, clips: DataFrame, title: str = "Highlight Processing Report", config: DataFrame | None = None
+    videos: DataFrame,
+    clips: DataFrame,
+    title: str = "Highlight Processing Report",
+    config: DataFrame | None = None,
+    logs: DataFrame | None = None,
+    generated_on: Column | None = None,
 ) -> DataFrame:
     """(video_id, section, pos, line): the Markdown report of every video, one row per line.
 
-    ``videos`` as from ``video_stats``, ``clips`` numbered per video, ``config(video_id, line_no, text)`` optional.
+    ``videos`` as from ``video_stats``, ``clips`` numbered per video, ``config(video_id, line_no, text)`` and
+    ``logs(video_id, line_no, text)`` optional; a video without logs has no section for them. ``generated_on`` is a timestamp.
     The document is the lines in (section, pos) order. No video's clip table is gathered anywhere.
     """
     totals = clips.groupBy("video_id").agg(
@@ -57,6 +63,7 @@ def lines(
         0,
         [
             F.lit(f"# {title}"),
+            *([] if generated_on is None else [F.concat(F.lit("Generated on: "), F.date_format(generated_on, "yyyy-MM-dd HH:mm:ss"))]),
             F.lit(""),
             F.lit("## 1. Video Statistics"),
             F.format_string("- **Source File**: %s", "video_path"),
@@ -116,10 +123,15 @@ def lines(
     )
     out = fixed.unionByName(by_type).unionByName(after_types).unionByName(table)
     if config is not None:
-        frame = videos.select("video_id", F.inline(_lines(5, [F.lit("## 4. Configuration Summary"), F.lit("```yaml")])))
-        end = videos.select("video_id", F.inline(_lines(7, [F.lit("```"), F.lit("")])))
-        body = config.select(
-            "video_id", F.lit(6).alias("section"), F.col("line_no").cast("bigint").alias("pos"), F.col("text").alias("line")
-        )
-        out = out.unionByName(frame).unionByName(body).unionByName(end)
+        out = out.unionByName(_quoted(videos, config, 5, "## 4. Configuration Summary", "yaml"))
+    if logs is not None:
+        logged = videos.join(logs.select("video_id").distinct(), "video_id", "left_semi")
+        out = out.unionByName(_quoted(logged, logs, 8, "## 5. Processing Logs", ""))
     return out
+
+
+def _quoted(videos: DataFrame, texts: DataFrame, section: int, heading: str, language: str) -> DataFrame:
+    """A section of quoted lines; it may be long, so its lines stay rows of their own."""
+    head = videos.select("video_id", F.inline(_lines(section, [F.lit(heading), F.lit(f"```{language}")])))
+    body = texts.select("video_id", F.lit(section + 1).alias("section"), F.col("line_no").cast("bigint").alias("pos"), F.col("text").alias("line"))
+    return head.unionByName(body).unionByName(videos.select("video_id", F.inline(_lines(section + 2, [F.lit("```"), F.lit("")]))))

@@ -16,11 +16,27 @@ def stage_dim(spark, names=STAGES) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(stage_idx, stage)")
 
 
+#: Fixed value: the path under which the merged edit of a batch stands among its videos.
+MERGED = "MERGED"
+
+
+def batch_results(results: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """(batch_id, path, success, clips, failed_stage, error): a row per video, then one under ``MERGED`` for each merged edit.
+
+    ``results(batch_id, path, success, clips, failed_stage, error)``; ``merged(batch_id, clips)`` holds the batches that were merged.
+    """
+    none = F.lit(None).cast("string")
+    rows = results.select("batch_id", "path", "success", "clips", "failed_stage", "error")
+    if merged is None:
+        return rows
+    return rows.unionByName(merged.select("batch_id", F.lit(MERGED).alias("path"), F.lit(True).alias("success"), "clips", none.alias("failed_stage"), none.alias("error")))
+
+
 def batch_summary(results: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     """Per batch: successes, total, any_failed, total_clips.
 
-    ``results(batch_id, video_id, success, clips)``; ``merged(batch_id, clips)`` adds the merged edit as a row of
-    its own under ``path = MERGED``.
+    ``results(batch_id, video_id, success, clips)``; ``merged(batch_id, clips)`` counts the merged edit as one more
+    success; ``batch_results`` lists it.
     """
     rows = results.select("batch_id", "success", "clips", F.lit(False).alias("merged"))
     if merged is not None:

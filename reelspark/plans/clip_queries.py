@@ -8,7 +8,7 @@ from reelspark.functions import fmt
 from reelspark.operators import clips as C
 from reelspark.operators import report, segments, timeline
 from reelspark.operators.ordered import HOUR_MS
-from reelspark.plans.inputs import HOUR, HOUR_S, KILLS, MULTI_S, POST_S, PRE_S, kills, query, table
+from reelspark.plans.inputs import HOUR, HOUR_S, KILLS, MULTI_S, ORACLE, POST_S, PRE_S, kills, query, table
 from reelspark.session import durable
 
 #: A day of media per scan bucket: the stand-in events are hours apart.
@@ -144,9 +144,12 @@ SELECT video_id, section, CAST(pos AS BIGINT) AS pos, line FROM (
   UNION ALL SELECT video_id, 4, 0, '' FROM tot)""",
 )
 def report_lines(spark, sf):
-    clips = numbered_clips(spark, sf)
+    return report.lines(report.video_stats(video_info(spark, sf)), numbered_clips(spark, sf))
+
+
+def video_info(spark, sf):
     vid = F.col("video_id")
-    info = kills(spark, sf).select("video_id").distinct().select(
+    return kills(spark, sf).select("video_id").distinct().select(
         "video_id",
         F.lit(None).cast("string").alias("video_path"),
         F.format_string("video_%d.mp4", "video_id").alias("path"),
@@ -157,7 +160,33 @@ def report_lines(spark, sf):
         F.lit("").alias("duration_str"),
         (F.lit(3600) + vid % 10).cast("string").alias("duration"),
     )
-    return report.lines(report.video_stats(info), clips)
+
+
+@query(
+    "report_sections",
+    f"""WITH {KILLS}, v AS (SELECT DISTINCT video_id FROM kills),
+    logs AS (SELECT video_id, event_id AS n, event_type || ' at ' || ts_ms AS text FROM kills WHERE event_type = 'error')
+    SELECT video_id, section, CAST(pos AS BIGINT) AS pos, line FROM (
+      SELECT video_id, section, pos + CASE WHEN section = 0 AND pos >= 1 THEN 1 ELSE 0 END AS pos, line FROM ({{REPORT}})
+      UNION ALL SELECT video_id, 0, 1, 'Generated on: 2024-03-01 12:00:00' FROM v
+      UNION ALL SELECT video_id, 5, unnest([0, 1]), unnest(['## 4. Configuration Summary', '```yaml']) FROM v
+      UNION ALL SELECT video_id, 6, unnest([0, 1]), unnest(['detection:', '  interval: ' || video_id]) FROM v
+      UNION ALL SELECT video_id, 7, unnest([0, 1]), unnest(['```', '']) FROM v
+      UNION ALL SELECT video_id, 8, unnest([0, 1]), unnest(['## 5. Processing Logs', '```']) FROM (SELECT DISTINCT video_id FROM logs)
+      UNION ALL SELECT video_id, 9, n, text FROM logs
+      UNION ALL SELECT video_id, 10, unnest([0, 1]), unnest(['```', '']) FROM (SELECT DISTINCT video_id FROM logs))""".replace(
+        "{REPORT}", ORACLE["report_lines"]
+    ),
+)
+def report_sections(spark, sf):
+    """Whole reports, with when they were made, the settings and the logs."""
+    info = video_info(spark, sf)
+    config = info.select("video_id", F.posexplode(F.array(F.lit("detection:"), F.concat(F.lit("  interval: "), "video_id"))).alias("line_no", "text"))
+    logs = kills(spark, sf).filter(F.col("event_type") == "error").select(
+        "video_id", F.col("event_id").alias("line_no"), F.concat("event_type", F.lit(" at "), "ts_ms").alias("text")
+    )
+    made = F.lit("2024-03-01 12:00:00").cast("timestamp")
+    return report.lines(report.video_stats(info), numbered_clips(spark, sf), config=config, logs=logs, generated_on=made)
 
 
 @query(

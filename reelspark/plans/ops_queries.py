@@ -96,6 +96,24 @@ def batch_summary(spark, sf):
     return runs.batch_summary(r, merged)
 
 
+@query(
+    "batch_results",
+    """WITH r AS (SELECT o_custkey % 20 AS batch_id, 'video_' || o_orderkey || '.mp4' AS path, o_orderstatus <> 'F' AS success, CAST(floor(o_totalprice % 9) AS BIGINT) AS clips,
+        CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'detection' ELSE 'clips' END END AS failed_stage,
+        CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS error FROM orders)
+    SELECT * FROM r UNION ALL
+    SELECT batch_id, 'MERGED', TRUE, CAST(sum(clips) AS BIGINT), NULL, NULL FROM r WHERE success AND batch_id % 2 = 0 GROUP BY batch_id""",
+)
+def batch_results(spark, sf):
+    r = results(spark, sf)
+    named = r.select(
+        "batch_id", F.format_string("video_%d.mp4", F.col("video_id")).alias("path"), "success", "clips",
+        F.when(~F.col("success"), F.col("failed_stage")).alias("failed_stage"), F.when(~F.col("success"), F.col("error")).alias("error"),
+    )
+    merged = r.filter(F.col("success") & (F.col("batch_id") % 2 == 0)).groupBy("batch_id").agg(F.sum("clips").alias("clips"))
+    return runs.batch_results(named, merged)
+
+
 @query(
     "batch_failures",
     """SELECT o_custkey % 20 AS batch_id, o_orderkey AS video_id,

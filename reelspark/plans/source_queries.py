@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from reelspark.functions import color, fmt, hashing, parse, roi
-from reelspark.operators import report
+from reelspark.operators import profile, report
 from reelspark.plans.clip_queries import MERGED, numbered_clips
 from reelspark.plans.inputs import HOUR, KILLS, MULTI_S, POST_S, PRE_S, kills, query, settings, table
 from reelspark.plans.ops_queries import MESSAGES, SOME_FIELDS
@@ -453,6 +453,45 @@ def video_stats(spark, sf):
     return report.video_stats(info)
 
 
+# --- what a run leaves behind, written twice ------
+
+
+def _home(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query(
+    "profile_documents",
+    f"""WITH {KILLS} SELECT CAST(video_id % 7 AS VARCHAR) AS run, event_type AS step, count(*) AS count, CAST(sum(c) AS DOUBLE) AS total,
+    CAST(round(avg(c), 6) AS DOUBLE) AS avg, CAST(min(c) AS DOUBLE) AS min, CAST(max(c) AS DOUBLE) AS max FROM kills GROUP BY 1, 2""",
+)
+def profile_documents(spark, sf):
+    """Profiles of runs as documents, one run written again, read back."""
+    steps = kills(spark, sf).select((F.col("video_id") % 7).cast("string").alias("run"), F.col("event_type").alias("step"), F.col("c").cast("double").alias("duration_s"))
+    stats, home = profile.stats(steps, ["run", "step"]), _home(spark, "profiles")
+    sinks.write_profile_documents(stats, home)
+    sinks.write_profile_documents(stats.filter(F.col("run") == "3"), home)
+    back = ingest.read_profiles(spark, home).withColumn("run", F.regexp_extract("source_path", "run=([^/]+)/", 1))
+    return back.drop("source_path").withColumn("avg", F.round("avg", 6))
+
+
+@query(
+    "run_history",
+    f"""WITH {KILLS}, r AS (SELECT video_id, count(*) AS clips, max(k) AS score FROM kills GROUP BY video_id),
+    t AS (SELECT unnest(['20240101_000000', '20240102_000000']) AS run_ts)
+    SELECT run_ts, 'results' AS kind, video_id, clips, score FROM r, t
+    UNION ALL SELECT run_ts, 'config', NULL, NULL, 9 FROM t""",
+)
+def run_history(spark, sf):
+    """Results and settings of two runs in the history, one of them recorded twice, read back."""
+    results = kills(spark, sf).groupBy("video_id").agg(F.count(F.lit(1)).alias("clips"), F.max("k").alias("score"))
+    config, home = spark.range(1).select(F.lit(9).cast("bigint").alias("score")), _home(spark, "history")
+    for run in ("20240101_000000", "20240102_000000", "20240101_000000"):
+        sinks.append_history(results, config, run, home)
+    read = lambda kind: spark.read.schema("video_id bigint, clips bigint, score bigint, run_ts string").json(f"{home}/{kind}").withColumn("kind", F.lit(kind))
+    return read("results").unionByName(read("config")).select("run_ts", "kind", "video_id", "clips", "score")
+
+
 # --- streaming ------------------------------------------------------------------------------------------------
 
 
@@ -537,3 +576,22 @@ def stream_progress(spark, sf):
     seen = _drain(live.latest_progress(updates, SOME_FIELDS), "update")
     last = seen.groupBy("task_id").agg(F.max_by(F.struct(*SOME_FIELDS), "batch").alias("p"))
     return last.select("task_id", "p.*")
+
+
+@query(
+    "stream_error_tail",
+    f"""WITH {MESSAGES}, r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) AS n FROM msg WHERE type = 'error')
+    SELECT task_id, seq, coalesce(level, 'ERROR') AS level, coalesce(message, '') AS message FROM r WHERE n <= 20""",
+)
+def stream_error_tail(spark, sf):
+    """The latest errors of every task after messages came in several micro-batches, in no order of time."""
+    from reelspark.plans.ops_queries import messages
+
+    home = _home(spark, "messages")
+    messages(spark, sf).withColumn("event_time", F.timestamp_seconds(F.col("seq") + 1)).repartition(8).write.parquet(home)
+    schema = spark.read.parquet(home).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(home)
+    # no message is late for so long a watermark, and no task is forgotten
+    seen = _drain(live.error_tail(stream, 20, ttl_ms=10**12, watermark="36500 days"), "update")
+    last = seen.groupBy("task_id").agg(F.max("batch").alias("batch"))
+    return seen.join(last, ["task_id", "batch"]).select("task_id", "seq", "level", "message")

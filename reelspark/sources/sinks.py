@@ -19,7 +19,9 @@ def event_records(events: DataFrame) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str, mode: str = "error") -> None:
-    event_records(events).write.mode(mode).partitionBy("video_id").json(path)
+    """Events as JSON under ``video_id=...``. Rows are brought together by video first, so a video is a few files, not one for
+    every task; a video that fills many partitions is split again, not gathered."""
+    event_records(events).hint("rebalance", "video_id").write.mode(mode).partitionBy("video_id").json(path)
 
 
 def clip_records(clips: DataFrame, output_dir: str = "") -> DataFrame:
@@ -61,12 +63,25 @@ def write_reports(lines: DataFrame, path: str, mode: str = "error") -> None:
     )
 
 
-def write_profile(stats: DataFrame, path: str) -> None:
-    """Append one run's step statistics."""
-    stats.write.mode("append").json(path)
+def _replacing(rows: DataFrame, *keys: str):
+    """A writer that replaces what is there under the keys of ``rows``, so a run that is repeated leaves its rows once."""
+    return rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+
+
+def write_profile(stats: DataFrame, path: str, run: str) -> None:
+    """Put one run's step statistics, as rows, beside those of other runs."""
+    _replacing(stats.withColumn("run", F.lit(run)), "run").json(path)
+
+
+def write_profile_documents(stats: DataFrame, path: str) -> None:
+    """One profile document per run: ``stats(run, step, count, total, avg, min, max)``; steps are a handful per run."""
+    body = F.struct("count", "total", "avg", "min", "max", F.col("step").alias("step_name"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("step").alias("key"), body.alias("value"))))
+    documents = stats.groupBy("run").agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+    _replacing(documents, "run").text(path)
 
 
 def append_history(results: DataFrame, config: DataFrame, run_ts: str, path: str) -> None:
-    """Append the results and the settings snapshot of a run under its timestamp."""
+    """Put the results and the settings snapshot of a run under its timestamp; the same run again replaces itself."""
     for name, rows in (("results", results), ("config", config)):
-        rows.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("run_ts").json(f"{path.rstrip('/')}/{name}")
+        _replacing(rows.withColumn("run_ts", F.lit(run_ts)), "run_ts").json(f"{path.rstrip('/')}/{name}")

@@ -108,38 +108,48 @@ def latest_progress(
     return folded.select("task_id", *[F.col(f).cast(t).alias(f) for f, t in kinds.items()])
 
 
-def _fold_errors(n: int):
-    """The n latest errors of a task, oldest first."""
+def _fold_errors(n: int, ttl_ms: int | None):
+    """The n latest errors of a task, oldest first, for as long as it keeps reporting some."""
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tail = list(zip(*state.get)) if state.exists else []
+        latest_ms = state.getCurrentWatermarkMs() if ttl_ms is not None else 0
         for batch in batches:
-            errors = batch[batch["type"] == "error"].nlargest(n, "seq")
-            tail += [(int(s), lv, m) for s, lv, m in zip(errors["seq"], errors["level"], errors["message"])]
-            tail = sorted(tail)[-n:]
-        if not tail:
-            return
+            errors = batch.nlargest(n, "seq")
+            tail = sorted([*tail, *((int(s), lv, m) for s, lv, m in zip(errors["seq"], errors["level"], errors["message"]))])[-n:]
+            if ttl_ms is not None:
+                latest_ms = max(latest_ms, int(batch["event_time"].max().timestamp() * 1000))
         seqs, levels, texts = map(list, zip(*tail))
         state.update((seqs, levels, texts))
+        if ttl_ms is not None:
+            state.setTimeoutTimestamp(latest_ms + ttl_ms)
         yield pd.DataFrame({"task_id": [key[0]] * len(tail), "seq": seqs, "level": levels, "message": texts})
 
     return fold
 
 
-def error_tail(messages: DataFrame, n: int = 50) -> DataFrame:
-    """Each update carries the task's n latest errors; state never exceeds n rows per task."""
-    shaped = messages.select(
+def error_tail(messages: DataFrame, n: int = 50, ttl_ms: int | None = None, watermark: str = "10 minutes") -> DataFrame:
+    """Each update carries the task's n latest errors; other messages are gone before the shuffle.
+
+    State never exceeds n rows per task. With a TTL, messages need ``event_time``, and a task without errors for that long
+    (by watermark) is forgotten; without one, tasks are kept for the life of the stream.
+    """
+    timed = messages if ttl_ms is None else messages.withWatermark("event_time", watermark)
+    shaped = timed.filter(F.col("type") == "error").select(
         "task_id",
         "seq",
-        "type",
         F.coalesce("level", F.lit("ERROR")).alias("level"),
         F.coalesce("message", F.lit("")).alias("message"),
+        *([] if ttl_ms is None else ["event_time"]),
     )
     key_type = messages.schema["task_id"].dataType.simpleString()
     return shaped.groupBy("task_id").applyInPandasWithState(
-        _fold_errors(n),
+        _fold_errors(n, ttl_ms),
         f"task_id {key_type}, seq bigint, level string, message string",
         "seqs array<bigint>, levels array<string>, messages array<string>",
         "update",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.EventTimeTimeout,
     )

@@ -108,12 +108,12 @@ def test_profiles_history_and_checkpoints(spark, tmp_path):
     (tmp_path / "prof" / "a.json").write_text(json.dumps({"ocr": {"count": 2, "total": 3.0, "avg": 1.5, "min": 1.0, "max": 2.0, "step_name": "ocr"}}, indent=2))
     assert [(r.step, r["count"], r.avg) for r in ingest.read_profiles(spark, str(tmp_path / "prof")).collect()] == [("ocr", 2, 1.5)]
     rows = spark.createDataFrame([(1, 2.0)], "video_id int, x double")
-    sinks.write_profile(rows, str(tmp_path / "p"))
-    sinks.write_profile(rows, str(tmp_path / "p"))
+    for run in ("a", "b", "a"):
+        sinks.write_profile(rows, str(tmp_path / "p"), run)
     assert spark.read.json(str(tmp_path / "p")).count() == 2
-    for ts in ("20240101_000000", "20240102_000000"):
+    for ts in ("20240101_000000", "20240102_000000", "20240101_000000"):
         sinks.append_history(rows, rows, ts, str(tmp_path / "h"))
-    assert spark.read.json(str(tmp_path / "h" / "results")).select("run_ts").distinct().count() == 2
+    assert spark.read.json(str(tmp_path / "h" / "results")).select("run_ts").distinct().count() == 2 == spark.read.json(str(tmp_path / "h" / "results")).count()
     ck = tmp_path / "ck"
     ck.mkdir()
     good = {"checkpoint_version": 2, "video_path": "v", "stages": {"frames": {"status": "SUCCESS", "duration": 1}}, "results": {"frames": ["f"], "clips": [{"output_path": "c"}]}}
