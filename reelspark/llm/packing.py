@@ -136,11 +136,12 @@ class Packer:
                 parts.append((x, start, start + keep))
 
 
-def pack(docs: DataFrame, path: str, end_id: int, limits: Limits = Limits(), prompt: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int, limits: Limits = Limits(), prompt: str | None = None, with_ids: bool = False, forget: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset) of the rows of ``docs``.
 
     ``prompt`` names a text column that goes before ``text`` and bears no loss. ``with_ids`` adds the piece's ids as
-    little-endian unsigned 32-bit numbers.
+    little-endian unsigned 32-bit numbers. ``forget`` empties a worker's memory of token pieces after each task, for jobs that go on with
+    other work in the same workers.
     """
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema["doc_id"].dataType
@@ -175,6 +176,8 @@ def pack(docs: DataFrame, path: str, end_id: int, limits: Limits = Limits(), pro
                 if rows:
                     yield frame(rows, base)
         rows = list(packer.end())
+        if forget:
+            encoder.forget()
         if rows:
             yield frame(rows, base)
 

@@ -190,9 +190,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **how) -
             yield pd.DataFrame(x, columns=FEATURES).assign(quality=batch["quality"].to_numpy(int))
 
     shape = ", ".join(f"{f} double" for f in FEATURES) + ", quality int"
-    # max_rows bounds the side that travels.
-    sample = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(chosen), "doc_id").drop("doc_id")
-    sample = sample.mapInPandas(rows, shape).orderBy(*FEATURES, "quality").limit(2 * max_rows).toPandas()
+    # max_rows bounds the side that travels; of rows that repeat a doc_id one text counts, so no more rows than marks come back.
+    met = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(chosen), "doc_id")
+    one = met.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = one.select("text", "quality").mapInPandas(rows, shape).orderBy(*FEATURES, "quality").toPandas()
     return fit(sample[FEATURES].to_numpy(float), sample["quality"].to_numpy(float), **how)
 
 

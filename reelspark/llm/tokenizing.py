@@ -10,7 +10,9 @@ texts at hand do not use is dropped, so that common words are not learned again
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import json
 import os
 import re
@@ -131,6 +133,15 @@ class Pieces:
         found = map(values.__getitem__, parts)
         return sum(found) if self.counting else b"".join(found)
 
+    def forget(self) -> None:
+        """Give back the memory of chunks and pieces; the next text learns them anew."""
+        self.chunks, self.pieces = {}, {}
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library than the GNU one: it keeps what was freed
+            pass
+
     def encode(self, texts: list[str]) -> list:
         parts = [self._parts(t) for t in texts]
         others = iter(self._by_chunks([t for t, p in zip(texts, parts) if p is None]))
