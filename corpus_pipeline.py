@@ -31,7 +31,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, with_ids=True, forget=True)
 
 
 STAGES = [
