@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import parse, roi
 from reelspark.operators.settings import DEFAULT_KEYWORDS, DEFAULT_WEIGHTS, SIGNALS
+from reelspark.session import durable
 
 #: Sections a game layer replaces wholesale, and the only known configuration version.
 REPLACED_SECTIONS = ("detection.ocr", "detection.templates", "detection.colors", "detection.weights", "detection.prefilter")
@@ -120,10 +121,9 @@ def typed(resolved: DataFrame) -> DataFrame:
         **{f"w_{s}": f"detection.weights.{s}" for s in SIGNALS},
     }
     listed = {"roi", "ocr_words"}
-    found = resolved.filter(F.col("path").isin(*wanted.values())).groupBy("game").agg(*[at(path).alias(name) for name, path in wanted.items()])
-    # each leaf is parsed once, in a projection of its own; games without any of these settings still get a row
-    parsed = found.select("game", *[(F.col(n) if n in listed else scalar(F.col(n))).alias(f"__{n}") for n in wanted], F.col("ocr_sim").isNotNull().alias("__has_sim"))
-    rows = resolved.select("game").distinct().join(parsed, "game", "left")
+    found = resolved.groupBy("game").agg(*[at(path).alias(name) for name, path in wanted.items()])
+    # each leaf is parsed once, in a projection of its own
+    rows = found.select("game", *[(F.col(n) if n in listed else scalar(F.col(n))).alias(f"__{n}") for n in wanted], F.col("ocr_sim").isNotNull().alias("__has_sim"))
     text = lambda name: F.col(f"__{name}")
     whole = lambda name, default: F.coalesce(text(name).try_cast("int"), F.lit(default))
     words = F.from_json(F.col("__ocr_words"), "array<string>")
@@ -316,7 +316,11 @@ def _bad_hsv_opt(value: Column) -> Column:
 
 
 def violations(resolved: DataFrame) -> DataFrame:
-    """Every broken constraint as (game, path, problem); no rows means the settings are valid."""
+    """Every broken constraint as (game, path, problem); no rows means the settings are valid.
+
+    The constraints read the settings five times, so these are written once first.
+    """
+    resolved = durable(resolved.select("game", "path", "value"))
     leaves = resolved.withColumn("problem", _leaf_problem(F.col("path"), F.col("value"))).filter("problem IS NOT NULL")
     weights = (
         resolved.filter(F.col("path").startswith("detection.weights."))

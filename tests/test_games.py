@@ -124,3 +124,10 @@ def test_rules_cost_no_further_pass(spark, tmp_path):
         shapes.add((plan.count("FileScan"), plan.count("Exchange"), plan.count("Join")))
     # frames, template scores, colours, objects, and texts twice: distinct ones and all
     assert len(shapes) == 1 and next(iter(shapes))[0] <= 6
+
+
+def test_constraints_scan_little(spark):
+    from reelspark.plans.catalog import QUERIES
+
+    plan = QUERIES["config_violations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 12
