@@ -151,15 +151,31 @@ def missing_artifacts(stages: DataFrame, refs: DataFrame, inventory: DataFrame)
     document must also parse. Stages without files are always valid and do not appear.
     """
     done = stages.filter(F.col("status") == "SUCCESS").select("video_id", "stage")
+    wanted = refs.join(done, ["video_id", "stage"], "left_semi")
     present = inventory.groupBy("path").agg(F.bool_or("parses").alias("parses"))
     good = F.col("parses").isNotNull() & ((F.col("stage") != "detection") | F.col("parses"))
-    return (
-        refs.join(done, ["video_id", "stage"], "left_semi")
-        .join(present, "path", "left")
-        .groupBy("video_id", "stage")
-        .agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("missing"))
-        .filter("missing > 0")
-    )
+    # what names no file is missing without a look; all of it together would be one key of the join
+    named = wanted.filter(F.col("path").isNotNull()).join(present, "path", "left").select("video_id", "stage", (~F.coalesce(good, F.lit(False))).alias("gone"))
+    nameless = wanted.filter(F.col("path").isNull()).select("video_id", "stage", F.lit(True).alias("gone"))
+    return named.unionByName(nameless).groupBy("video_id", "stage").agg(F.count_if("gone").alias("missing")).filter("missing > 0")
+
+
+def store_inventory(inventory: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """``inventory(path, parses)`` as a table bucketed by path: whoever joins it on the path shuffles only the other side."""
+    rows = inventory.groupBy("path").agg(F.bool_or("parses").alias("parses"))
+    rows.write.mode("overwrite").option("path", path).bucketBy(buckets, "path").sortBy("path").saveAsTable(name)
+    return inventory.sparkSession.table(name)
+
+
+def resume_from_checkpoints(videos: DataFrame, checkpoints: DataFrame, inventory: DataFrame, changed: DataFrame) -> DataFrame:
+    """RUN or SKIP for every (video, stage), straight from checkpoints.
+
+    ``checkpoints`` as from ``ingest.parse_checkpoints`` with ``video_id`` and ``video_path``: the usable ones give the stages and
+    name the files; files that are not in ``inventory(path, parses)`` and ``changed(video_id, stage)`` settings cut the plan.
+    """
+    usable = usable_checkpoints(checkpoints)
+    stages = usable.select("video_id", F.explode("stages").alias("stage", "status"))
+    return resume_plan(videos, stages, first_invalid(missing_artifacts(stages, references(usable), inventory)), changed)
 
 
 def first_invalid(missing: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reelspark.operators import config as CF
@@ -9,7 +11,8 @@ from reelspark.operators import lineage as L
 from reelspark.operators import rules as R
 from reelspark.operators.runs import STAGES
 from reelspark.plans.inputs import query, table
-from reelspark.session import durable
+from reelspark.session import durable, shared_folder
+from reelspark.sources import ingest
 
 # candidate leaves per layer: (path, values as JSON text); an order picks a path and one of its values
 DEFAULTS = [
@@ -434,3 +437,46 @@ def checkpoint_references(spark, sf):
         at("r").alias("report_path"),
     )
     return L.references(docs)
+
+
+@query(
+    "resume_from_checkpoints",
+    f"""WITH c AS (SELECT c_custkey AS v FROM customer WHERE c_custkey % 5 > 0 AND c_custkey % 4 >= 2),
+    sx AS (SELECT unnest(range(9)) AS i),
+    s AS (SELECT v, i, {STAGE_SQL}[i + 1] AS stage FROM c, sx WHERE (v * 7 + i * 3) % 8 > 0),
+    r AS (SELECT v, 'frames' AS stage, unnest(['p/' || (v * 4), 'p/' || (v * 4 + 1)]) AS path FROM c WHERE v % 7 > 0
+          UNION ALL SELECT v, 'frames', NULL FROM c WHERE v % 7 = 0
+          UNION ALL SELECT v, 'detection', 'p/' || (v * 4 + 2) FROM c
+          UNION ALL SELECT v, 'clips', 'p/' || (v * 4 + 3) FROM c WHERE v % 2 = 0
+          UNION ALL SELECT v, 'join', NULL FROM c UNION ALL SELECT v, 'audio', 'p/' || v FROM c UNION ALL SELECT v, 'report', NULL FROM c),
+    inv AS (SELECT DISTINCT 'p/' || l_orderkey AS path, l_orderkey % 3 > 0 AS parses FROM lineitem),
+    bad AS (SELECT r.v, min(s.i) AS i FROM r JOIN s ON s.v = r.v AND s.stage = r.stage LEFT JOIN inv USING (path)
+            WHERE inv.path IS NULL OR (r.stage = 'detection' AND NOT parses) GROUP BY r.v),
+    ch AS (SELECT c_custkey AS v, 3 AS i FROM customer WHERE c_custkey % 11 = 0)
+    SELECT a.c_custkey AS video_id, CAST(sx.i AS INTEGER) AS stage_idx, {STAGE_SQL}[sx.i + 1] AS stage,
+      CASE WHEN s.v IS NOT NULL AND sx.i < coalesce(least(bad.i, ch.i), 9) THEN 'SKIP' ELSE 'RUN' END AS action
+    FROM customer a CROSS JOIN sx LEFT JOIN s ON s.v = a.c_custkey AND s.i = sx.i LEFT JOIN bad ON bad.v = a.c_custkey LEFT JOIN ch ON ch.v = a.c_custkey""",
+)
+def resume_from_checkpoints(spark, sf):
+    """Checkpoint documents parsed, weighed against a bucketed inventory, and turned into a plan, in one chain."""
+    v = F.col("c_custkey")
+    at = lambda n: F.concat(F.lit("p/"), n)
+    done = F.filter(F.array(*[F.lit(i) for i in range(len(L.STAGES))]), lambda i: (v * 7 + i * 3) % 8 > 0)
+    names = F.array(*[F.lit(s) for s in L.STAGES])
+    stages = F.map_from_entries(F.transform(done, lambda i: F.struct(F.get(names, i), F.struct(F.lit("SUCCESS").alias("status")))))
+    results = F.struct(
+        F.when(v % 7 > 0, F.array(at(v * 4), at(v * 4 + 1))).alias("frames"),
+        at(v * 4 + 2).alias("detection_json"),
+        F.when(v % 2 == 0, F.array(F.struct(at(v * 4 + 3).alias("path")))).alias("clips"),
+        at(v).alias("final_video"),
+    )
+    document = F.struct(F.when(v % 5 > 0, (v % 4).cast("int")).alias("checkpoint_version"), F.concat(F.lit("v/"), v).alias("video_path"), stages.alias("stages"), results.alias("results"))
+    documents = table(spark, sf, "customer").select(F.concat(F.lit("ck/"), v, F.lit(".json")).alias("source_path"), F.to_json(document).alias("json"))
+    number = F.regexp_extract("checkpoint_path", r"ck/(\d+)", 1).cast("bigint")
+    parsed = ingest.parse_checkpoints(documents).withColumns({"video_id": number, "video_path": F.concat(F.lit("v/"), number)})
+    paths = table(spark, sf, "lineitem").select(at(F.col("l_orderkey")).alias("path"), (F.col("l_orderkey") % 3 > 0).alias("parses"))
+    name = f"inventory_{uuid.uuid4().hex[:12]}"
+    inventory = L.store_inventory(paths, name, f"{shared_folder(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    videos = table(spark, sf, "customer").select(v.alias("video_id"))
+    changed = videos.filter("video_id % 11 = 0").select("video_id", F.lit(L.STAGES[3]).alias("stage"))
+    return L.resume_from_checkpoints(videos, parsed, inventory, changed)

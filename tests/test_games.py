@@ -131,3 +131,24 @@ def test_constraints_scan_little(spark):
 
     plan = QUERIES["config_violations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 12
+
+
+def test_bucketed_inventory_is_not_shuffled_again(spark):
+    from reelspark.plans.catalog import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["resume_from_checkpoints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "inventory_" in line)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    above = []
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-"))
+        if own < depth:
+            above.append(line)
+            depth = own
+    joined = next(i for i, line in enumerate(above) if "Join" in line)
+    assert not any("Exchange" in line for line in above[:joined])
