@@ -59,6 +59,7 @@ def lines(
         F.coalesce(F.sum("kill_count"), F.lit(0)).alias("kills"), F.count(F.lit(1)).alias("clips")
     )
     base = videos.join(totals, "video_id", "left").fillna(0, ["kills", "clips"])
+    # Fixed values, here and below: headings and labels that readers of reports look for.
     head = _lines(
         0,
         [
