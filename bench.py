@@ -20,7 +20,7 @@ HEADLINE = """
 kill_type_totals clip_merge_by_video clip_merge_sessions clip_kill_types clip_members kill_streaks_min2 clip_cut_plan
 transition_timeline multi_video_order report_lines signal_assembly prefilter_selectivity weighted_events score_explain
 rule_events detect_events detect_events_overrides preview_vs_production detection_progress template_correlation
-color_coverage nearest_pairs band_annotate keyword_matches top_detections profile_summary span_pairing config_typed
+color_coverage nearest_pairs band_annotate top_detections profile_summary span_pairing config_typed
 resume_plan history_retention latest_progress stream_clips
 """.split()
 

@@ -1,8 +1,8 @@
 """Text similarity.
 
 ``indel_ratio`` is 2*LCS/(len a + len b). Against a keyword known up front the LCS is taken bit-parallel: one
-BIGINT holds the row of the dynamic programme, so a text costs one step per character. Keywords longer than
-``WORD_BITS`` use the plain two-level fold. Everything stays in the JVM.
+BIGINT holds the row of the dynamic programme, so a text costs one step per character; longer keywords take as many
+BIGINTs as they need, with the carry handed from one to the next. Everything stays in the JVM.
 """
 
 from __future__ import annotations
@@ -95,25 +95,51 @@ def prepared(keyword: Column, position: Column) -> Column:
     )
 
 
+def _wide_lcs(text: Column, norm: Column) -> Column:
+    """LCS of a text and a keyword of any length, its row in words of ``WORD_BITS`` bits."""
+    zero, ones = F.lit(0).cast("bigint"), F.lit((1 << WORD_BITS) - 1)
+    starts = F.sequence(F.lit(0), F.floor((F.length(norm) - 1) / WORD_BITS).cast("int"))
+    blocks = F.transform(starts, lambda b: F.substring(norm, b * WORD_BITS + 1, WORD_BITS))
+    words = F.transform(blocks, lambda p: F.struct(keyword_masks(p).alias("masks"), F.length(p).alias("n")))
+
+    def fold(kw: Column) -> Column:
+        def step(rows: Column, ch: Column) -> Column:
+            def word(acc: Column, w: Column) -> Column:
+                row, hits = w["row"], F.coalesce(F.try_element_at(w["masks"], ch), zero)
+                total = row + row.bitwiseAND(hits) + acc["carry"]
+                new = total.bitwiseAND(ones).bitwiseOR(row.bitwiseAND(F.bitwise_not(hits)))
+                return F.struct(F.shiftright(total, WORD_BITS).alias("carry"), F.concat(acc["rows"], F.array(new)).alias("rows"))
+
+            paired = F.zip_with(rows, kw, lambda r, k: F.struct(r.alias("row"), k["masks"].alias("masks")))
+            start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("rows"))
+            return F.aggregate(paired, start, word)["rows"]
+
+        rows = F.aggregate(_chars(text), F.transform(kw, lambda k: ones), step)
+        unset = F.zip_with(rows, kw, lambda r, k: k["n"] - F.bit_count(r.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), k["n"]) - 1)))
+        return F.aggregate(unset, F.lit(0), lambda a, b: a + b)
+
+    # the masks are bound once for all steps
+    return F.get(F.transform(F.array(words), fold), F.lit(0))
+
+
 def keyword_ratio(text: Column, keyword: Column) -> Column:
     """Indel ratio of a normalised text against a prepared keyword struct."""
     n = keyword["n"]
     ones = F.call_function("shiftleft", F.lit(1).cast("bigint"), n) - 1
     zero = F.lit(0).cast("bigint")
 
-    def step(row: Column, ch: Column) -> Column:
-        hits = F.coalesce(F.try_element_at(keyword["masks"], ch), zero)
-        matched = row.bitwiseAND(hits)
-        return (row + matched).bitwiseAND(ones).bitwiseOR(row.bitwiseAND(F.bitwise_not(hits)))
+    def step(row: Column, hits: Column) -> Column:
+        return (row + row.bitwiseAND(hits)).bitwiseOR(row.bitwiseAND(F.bitwise_not(hits)))
 
-    # an empty piece of the split matches nothing and leaves the row as it is
-    row = F.aggregate(F.split(text, ""), ones, step)
+    # an empty piece of the split matches nothing and leaves the row as it is; bits above the keyword's never reach down
+    hits = F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(keyword["masks"], ch), zero))
+    row = F.aggregate(hits, ones, step)
     fast = _ratio((n - F.bit_count(row.bitwiseAND(ones))).cast("double"), F.length(text) + n)
     return (
         F.when(text == keyword["norm"], F.lit(1.0))
         .when((n == 0) | (F.length(text) == 0), F.lit(0.0))
         .when(n <= WORD_BITS, fast)
-        .otherwise(indel_ratio(text, keyword["norm"]))
+        .otherwise(_ratio(_wide_lcs(text, keyword["norm"]), F.length(text) + n))
     )
 
 

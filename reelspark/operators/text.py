@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions import similarity
+from reelspark.operators import keyword_join
+from reelspark.operators.keyword_join import KeywordTable
 from reelspark.operators.ordered import top_per_key
 
 
@@ -19,7 +21,7 @@ def keywords_column(keywords: Sequence[str]) -> Column:
 def keywords_from(table: DataFrame) -> Column:
     """The same from a small table ``(kw_idx, keyword)``, as a scalar subquery - no join with the detections.
 
-    For configured lists; the array travels in every task.
+    For configured lists; the array travels in every task. Tables of any length go through ``keyword_join.prepare``.
     """
     norm = F.lower("keyword")
     prepared = table.select(
@@ -62,11 +64,14 @@ def _distinct_texts(texts: DataFrame) -> DataFrame:
     return texts.select("norm").distinct().repartition(partitions, "norm")
 
 
-def score_texts(texts: DataFrame, keywords: Column, threshold: float | None, ratio=similarity.keyword_ratio) -> DataFrame:
+def score_texts(texts: DataFrame, keywords: Column | KeywordTable, threshold: float | None, ratio=similarity.keyword_ratio) -> DataFrame:
     """(norm) -> (norm, keyword, similarity) of the best keyword; below ``threshold`` dropped (None keeps all).
 
-    The match leaves the row through a generator, so it is computed once, not again for every filter on it.
+    The match leaves the row through a generator, so it is computed once, not again for every filter on it. From a
+    ``KeywordTable`` texts without any similarity are left out.
     """
+    if isinstance(keywords, KeywordTable):
+        return keyword_join.best(texts, keywords, threshold)
     best = F.array(best_keyword(F.col("norm"), F.col("kws"), threshold, ratio))
     if threshold is not None:
         best = F.filter(best, lambda b: (b["similarity"] >= threshold) & (b["similarity"] > 0))
@@ -76,7 +81,7 @@ def score_texts(texts: DataFrame, keywords: Column, threshold: float | None, rat
 
 def score_detections(
     detections: DataFrame,
-    keywords: Column,
+    keywords: Column | KeywordTable,
     threshold: float | None = 0.8,
     ratio=similarity.keyword_ratio,
 ) -> DataFrame:
@@ -88,13 +93,14 @@ def score_detections(
     """
     keep = [c for c in detections.columns if c != "text"]
     prepared = detections.select(*keep, F.trim("text").alias("text")).withColumn("norm", F.lower("text"))
-    scored = score_texts(_distinct_texts(prepared), keywords, threshold, ratio)
+    distinct = prepared.select("norm").distinct() if isinstance(keywords, KeywordTable) else _distinct_texts(prepared)
+    scored = score_texts(distinct, keywords, threshold, ratio)
     return prepared.join(scored, "norm").select(*keep, "text", "keyword", "similarity")
 
 
 def match_keywords(
     detections: DataFrame,
-    keywords: Column,
+    keywords: Column | KeywordTable,
     threshold: float = 0.8,
     ratio=similarity.keyword_ratio,
     keys: Sequence[str] = ("video_id", "ts_ms"),
@@ -153,7 +159,7 @@ def scan_grid(centers: DataFrame, window_ms: int, step_ms: int) -> DataFrame:
 
 
 def scan_keywords(
-    detections: DataFrame, centers: DataFrame, keywords: Column, window_ms: int, step_ms: int, threshold: float = 0.8
+    detections: DataFrame, centers: DataFrame, keywords: Column | KeywordTable, window_ms: int, step_ms: int, threshold: float = 0.8
 ) -> DataFrame:
     """Best match around each centre, not gated by the threshold, with detection counters.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reelspark.operators import align as A
 from reelspark.operators import text as T
+from reelspark.operators.keyword_join import similar
 from reelspark.operators.ordered import HOUR_MS
 from reelspark.plans.inputs import HOUR, KEYWORDS, KILLS, TOKENS, keywords, kills, query, table, tokens
 from reelspark.session import durable
@@ -201,44 +202,59 @@ def scan_grid(spark, sf):
     return T.scan_grid(kills(spark, sf).select("event_id", F.col("ts_ms").alias("center_ms")), 2500, 1000)
 
 
-# LCS by folding the text over a row of the dynamic programme; distinct pairs only
-RATIOS = f"""{TOKENS}, {KEYWORDS},
-pairs AS (SELECT DISTINCT lower(text) AS a, keyword AS b FROM tokens CROSS JOIN keywords),
-lcs AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: CAST(0 AS BIGINT)) AS row FROM pairs
+# Characters in common bound the LCS; the LCS itself by folding the text over a row of the dynamic programme
+LETTERS = f"""{TOKENS}, {KEYWORDS},
+words AS (SELECT DISTINCT lower(text) AS a FROM tokens),
+wa AS (SELECT a, ch, count(*) AS k FROM (SELECT a, unnest(string_split(a, '')) AS ch FROM words) GROUP BY ALL),
+kb AS (SELECT b, ch, count(*) AS k FROM (SELECT keyword AS b, unnest(string_split(keyword, '')) AS ch FROM keywords) GROUP BY ALL)"""
+
+
+def _ratios(name: str, pairs: str) -> str:
+    """SQL of table ``name`` (a, b, sim) for the pairs (a, b) of the given select."""
+    return f"""{name}_lcs AS (
+        SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: CAST(0 AS BIGINT)) AS row FROM ({pairs})
         UNION ALL
         SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda acc, j:
                  list_append(acc, CASE WHEN substring(b, j[1], 1) = substring(a, i + 1, 1) THEN row[j[1]] + 1
                                        ELSE greatest(row[j[1] + 1], acc[-1]) END), [CAST(0 AS BIGINT)])
-        FROM lcs WHERE i < length(a)),
-ratios AS (SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE 2.0 * row[-1] / (length(a) + length(b)) END AS sim
-           FROM lcs WHERE i = length(a))"""
+        FROM {name}_lcs WHERE i < length(a)),
+{name} AS (SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE 2.0 * row[-1] / (length(a) + length(b)) END AS sim
+           FROM {name}_lcs WHERE i = length(a))"""
+
+
+RATIO = 0.6
+RATIOS = f"""{LETTERS}, {_ratios("scored", f"""SELECT a, b FROM wa JOIN kb USING (ch) WHERE 2 * least(length(a), length(b)) >= {RATIO} * (length(a) + length(b))
+          GROUP BY a, b HAVING 2 * sum(least(wa.k, kb.k)) >= {RATIO} * (length(a) + length(b))""")},
+ratios AS (SELECT * FROM scored WHERE sim >= {RATIO})"""
+# words without a keyword that close meet all that share a character
+ALL_RATIOS = f"""{RATIOS}, {_ratios("others", "SELECT DISTINCT a, b FROM wa JOIN kb USING (ch) WHERE a NOT IN (SELECT a FROM ratios)")},
+all_ratios AS (SELECT * FROM ratios UNION ALL SELECT * FROM others)"""
 
 
 @query(
     "keyword_matches",
     f"""WITH RECURSIVE {RATIOS}, m AS (
-      SELECT t.*, k.keyword, k.kw_idx, r.sim FROM tokens t CROSS JOIN keywords k
-      JOIN ratios r ON r.a = lower(t.text) AND r.b = k.keyword WHERE r.sim >= 0.6),
+      SELECT t.*, k.keyword, k.kw_idx, r.sim FROM tokens t JOIN ratios r ON r.a = lower(t.text) JOIN keywords k ON r.b = k.keyword),
     n AS (SELECT *, row_number() OVER (PARTITION BY video_id, ts_ms ORDER BY sim DESC, det_idx, kw_idx) AS n FROM m)
     SELECT video_id, ts_ms, keyword, text, CAST(confidence AS DOUBLE) AS confidence, round(sim, 9) AS similarity FROM n WHERE n = 1""",
 )
 def keyword_matches(spark, sf):
-    found = T.match_keywords(tokens(spark, sf), T.keywords_from(keywords(spark, sf)), 0.6)
+    found = T.match_keywords(tokens(spark, sf), keywords(spark, sf), RATIO)
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
     "keyword_scan_window",
-    f"""WITH RECURSIVE {RATIOS}, m AS (
-      SELECT t.*, k.keyword, k.kw_idx, r.sim FROM tokens t CROSS JOIN keywords k
-      JOIN ratios r ON r.a = lower(t.text) AND r.b = k.keyword),
+    f"""WITH RECURSIVE {ALL_RATIOS}, tops AS (
+      SELECT a, arg_max(keyword, (sim, -kw_idx)) AS keyword, max(sim) AS sim FROM all_ratios JOIN keywords ON b = keyword GROUP BY a),
+    m AS (SELECT t.*, r.keyword, r.sim FROM tokens t JOIN tops r ON r.a = lower(t.text)),
     ctr AS (SELECT DISTINCT conv_id AS video_id, turn * 1000 AS center_ms FROM conversations WHERE turn % 2 = 1),
     grid AS (SELECT video_id, center_ms, unnest(range(greatest(0, center_ms - 1000), center_ms + 1001, 500)) AS ts_ms FROM ctr),
     cnt AS (SELECT video_id, ts_ms, count(*) AS n_det FROM tokens GROUP BY ALL),
     agg AS (SELECT g.video_id, g.center_ms, count(*) AS grid_instants, count(*) FILTER (WHERE n_det > 0) AS frames_with_detections,
               CAST(coalesce(sum(n_det), 0) AS BIGINT) AS total_detections FROM grid g LEFT JOIN cnt USING (video_id, ts_ms) GROUP BY ALL),
     b AS (SELECT g.video_id, g.center_ms, m.ts_ms, m.keyword, m.text, m.sim,
-            row_number() OVER (PARTITION BY g.video_id, g.center_ms ORDER BY sim DESC, m.ts_ms, det_idx, kw_idx) AS n
+            row_number() OVER (PARTITION BY g.video_id, g.center_ms ORDER BY sim DESC, m.ts_ms, det_idx) AS n
           FROM grid g JOIN m USING (video_id, ts_ms) WHERE sim > 0)
     SELECT agg.*, coalesce(sim >= 0.8, FALSE) AS found, keyword, text, round(coalesce(sim, 0.0), 9) AS similarity, b.ts_ms
     FROM agg LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (video_id, center_ms)""",
@@ -247,7 +263,7 @@ def keyword_scan_window(spark, sf):
     centers = table(spark, sf, "conversations").filter(F.col("turn") % 2 == 1).select(
         F.col("conv_id").alias("video_id"), (F.col("turn") * 1000).alias("center_ms")
     )
-    out = T.scan_keywords(tokens(spark, sf), centers, T.keywords_from(keywords(spark, sf)), 1000, 500, 0.8)
+    out = T.scan_keywords(tokens(spark, sf), centers, keywords(spark, sf), 1000, 500, 0.8)
     return out.withColumn("similarity", F.round("similarity", 9))
 
 
@@ -256,14 +272,10 @@ def keyword_scan_window(spark, sf):
     f"""WITH RECURSIVE {RATIOS} SELECT a, b, round(sim, 9) AS similarity FROM ratios""",
 )
 def indel_ratio(spark, sf):
-    """Every distinct word against every keyword."""
-    words = tokens(spark, sf).select(F.lower("text").alias("a")).distinct()
-    kws = words.withColumn("kws", T.keywords_from(keywords(spark, sf)))
-    from reelspark.functions import similarity
-
-    scored = kws.select("a", F.explode("kws").alias("kw"))
-    return scored.select(
-        "a", F.col("kw.keyword").alias("b"), F.round(similarity.keyword_ratio(F.col("a"), F.col("kw")), 9).alias("similarity")
+    """Every distinct word with every keyword that it resembles."""
+    words = tokens(spark, sf).select(F.lower("text").alias("norm")).distinct()
+    return similar(words, keywords(spark, sf), RATIO).select(
+        F.col("norm").alias("a"), F.col("keyword").alias("b"), F.round("similarity", 9).alias("similarity")
     )
 
 

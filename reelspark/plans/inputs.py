@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspark.operators.keyword_join import KeywordTable, prepare
+from reelspark.operators.ordered import laid_out
 from reelspark.operators.settings import Detection
 from reelspark.session import tune
 
@@ -135,19 +137,15 @@ TOKENS = """tokens AS (
   WHERE text <> '')"""
 
 
-def keywords(spark: SparkSession, sf: str) -> DataFrame:
-    """The five most frequent longer words of the benchmark texts."""
+def keywords(spark: SparkSession, sf: str) -> KeywordTable:
+    """All longer words of the benchmark texts, the most frequent first."""
     words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("keyword"))
-    counted = words.filter(F.length("keyword") >= 4).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "keyword").limit(5)
-    ranked = top.agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "keyword"))).alias("all")
-    )
-    return ranked.select(F.posexplode("all").alias("kw_idx", "s")).select("kw_idx", "s.keyword")
+    counted = words.filter(F.length("keyword") >= 4).groupBy("keyword").agg((-F.count(F.lit(1))).alias("less"))
+    return prepare(laid_out(counted, [], "less", ["keyword"]).select(F.col("__at").alias("kw_idx"), "keyword"))
 
 
 KEYWORDS = """keywords AS (
-  SELECT keyword, CAST(row_number() OVER (ORDER BY n DESC, keyword) - 1 AS INTEGER) AS kw_idx
+  SELECT keyword, row_number() OVER (ORDER BY n DESC, keyword) - 1 AS kw_idx
   FROM (SELECT keyword, count(*) AS n
         FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS keyword FROM benchmark)
-        WHERE length(keyword) >= 4 GROUP BY keyword ORDER BY n DESC, keyword LIMIT 5))"""
+        WHERE length(keyword) >= 4 GROUP BY keyword))"""

@@ -108,8 +108,8 @@ def test_indel_ratio_agrees_with_brute_force(spark):
     import random
 
     rng = random.Random(5)
-    words = ["".join(rng.choice("kilé击") for _ in range(rng.randint(0, 9))) for _ in range(150)] + ["kiill", "health", "击杀"]
-    kws = ["KILL", "击杀", "li", "k" * 30 + "il" * 25]
+    words = ["".join(rng.choice("kilé击") for _ in range(rng.randint(0, 9))) for _ in range(150)] + ["kiill", "health", "击杀", "kil" * 50, "lik击" * 70]
+    kws = ["KILL", "击杀", "li", "k" * 30 + "il" * 25, "kilé击" * 20, "l" * 61, "ik" * 61, "il" * 61 + "k"]
     df = spark.createDataFrame([(w,) for w in words], ["w"])
     fast = df.select("w", F.explode(text.keywords_column(kws)).alias("k")).select(
         "w",
