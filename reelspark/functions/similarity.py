@@ -129,9 +129,10 @@ def keyword_ratio(text: Column, keyword: Column) -> Column:
     zero = F.lit(0).cast("bigint")
 
     def step(row: Column, hits: Column) -> Column:
-        return (row + row.bitwiseAND(hits)).bitwiseOR(row.bitwiseAND(F.bitwise_not(hits)))
+        return (row + row.bitwiseAND(hits)).bitwiseAND(full).bitwiseOR(row.bitwiseAND(F.bitwise_not(hits)))
 
     # an empty piece of the split matches nothing and leaves the row as it is; bits above the keyword's never reach down
+    full = F.lit((1 << WORD_BITS) - 1)
     hits = F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(keyword["masks"], ch), zero))
     row = F.aggregate(hits, ones, step)
     fast = _ratio((n - F.bit_count(row.bitwiseAND(ones))).cast("double"), F.length(text) + n)
